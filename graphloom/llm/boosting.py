@@ -173,8 +173,8 @@ def sample(labels: DataFrame, id_col: str = "doc_id", fit_rows: int = FIT_ROWS)
 
 def train(stats: DataFrame, known: DataFrame, id_col: str = "doc_id") -> Boosted:
     """Fitted on known, at most fit_rows labels, which is also the bound of what is broadcast and collected."""
-    rows = stats.join(F.broadcast(known), id_col).orderBy(id_col).select("f", "quality").toPandas()
-    x = np.stack(list(rows["f"])) if len(rows) else np.zeros((0, len(FEATURES)))
+    rows = stats.join(F.broadcast(known), id_col).orderBy(id_col).select("f", "quality").toArrow().combine_chunks()
+    x = rows["f"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, (rows["quality"].to_numpy() == 1).astype(float))
 
 

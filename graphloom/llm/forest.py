@@ -174,10 +174,10 @@ def link_pairs(distinct: DataFrame, similarity: float = 0.9, fit_rows: int = FIT
     """a, b: pairs of ids of distinct vectors (rep, v), found similar in some tree; each pair once."""
     spark = distinct.sparkSession
     total = distinct.count()
-    fit = distinct.orderBy(F.xxhash64("rep", "v")).limit(fit_rows).select("v").toPandas()["v"]
+    fit = distinct.orderBy(F.xxhash64("rep", "v")).limit(fit_rows).select("v").toArrow().column("v").combine_chunks()
     if len(fit) < 2:
         return distinct.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    sample = np.stack(list(fit)).astype(np.float64)
+    sample = fit.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), -1)
     forest = Forest(sample / np.sqrt((sample**2).sum(1, keepdims=True)), total, similarity)
     sizes = distinct.select("rep", "v").mapInArrow(_assign(forest, False), "tree int, leaf long").groupBy("tree", "leaf").count()
     large = sizes.where(F.col("count") > block).select("tree", "leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks"))

@@ -40,7 +40,7 @@ from .wordarrays import Words, slices, sliding, window_hashes
 WINDOW = 35
 GRAM = 24
 PHRASE = 18
-BITMAP = 27
+BITMAP = 26
 SHARD_ROWS = 512
 _POS, _ROW = 25, 18
 
@@ -54,12 +54,17 @@ def _places(batch: pa.RecordBatch) -> np.ndarray:
     return (part << _ROW | row) << _POS
 
 
+def _inside(w: Words, window: int) -> np.ndarray:
+    """Which windows lie in one text."""
+    n = max(0, len(w) - window + 1)
+    return w.doc[:n] == w.doc[window - 1 :] if n else np.zeros(0, bool)
+
+
 def _windows(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, hashes and short second hashes of all windows, and which of them lie in one text."""
     h = w.hashes()
     first, second = window_hashes(h, window, 1), window_hashes(h, window, 3)
-    inside = w.doc[: len(first)] == w.doc[window - 1 :] if len(first) else np.zeros(0, bool)
-    return h, first, (second & np.uint64(0xFFFF)).astype(np.int32), inside
+    return h, first, (second & np.uint64(0xFFFF)).astype(np.int32), _inside(w, window)
 
 
 def _anchors(h: np.ndarray, inside: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +79,8 @@ def _count_anchors(window, gram):
             w = Words(raw)
             if len(w) < window:
                 continue
-            h, _, _, inside = _windows(w, window)
+            h = w.hashes()
+            inside = _inside(w, window)
             grams, anchor = _anchors(h, inside, window, gram)
             # A gram is an anchor if it is the smallest of some window that holds it.
             reach = window - gram
@@ -88,9 +94,9 @@ def _count_anchors(window, gram):
 def bitmap(repeated: DataFrame, bits: int = BITMAP) -> np.ndarray:
     """2^bits bits, set at the low bits of the hashes in h: at most 2^(bits - 6) words come to the driver, whatever the input."""
     slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = repeated.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {(1 << bits) - 1}L) & 63 as int))")).alias("w")).toPandas()
+    words = repeated.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {(1 << bits) - 1}L) & 63 as int))")).alias("w")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words["at"].to_numpy()] = words["w"].to_numpy().view(np.uint64) if len(words) else 0
+    out[words["at"].to_numpy()] = words["w"].to_numpy().view(np.uint64)
     return out
 
 

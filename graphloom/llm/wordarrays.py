@@ -58,8 +58,9 @@ class Words:
         self.data = np.frombuffer(joined, np.uint8)
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.text_start = np.concatenate([[0], np.cumsum(sizes)])
+        self.inside = ~WHITE[self.data]
         inside = np.zeros(len(self.data) + 2, np.int8)
-        inside[1:-1] = ~WHITE[self.data]
+        inside[1:-1] = self.inside
         step = np.diff(inside)
         self.start = np.flatnonzero(step == 1)
         self.end = np.flatnonzero(step == -1)
@@ -77,8 +78,9 @@ class Words:
         length = self.end - self.start
         total = int(length.sum())
         before = np.cumsum(length) - length
-        at = np.arange(total) - np.repeat(before, length)
-        values = _BYTE_VALUES[self.data[at + np.repeat(self.start, length)]] * _powers(int(length.max()))[at]
+        at = np.arange(total, dtype=np.int32) - np.repeat(before.astype(np.int32), length)
+        values = _BYTE_VALUES[self.data[self.inside]]
+        values *= _powers(int(length.max()))[at]
         return mix(np.add.reduceat(values, before), 1) + mix(length.astype(np.uint64), 2)
 
 
