@@ -72,13 +72,13 @@ class Result:
 
 
 class Engine:
-    """Queries over triples with the columns tid, s, p, oty, o, o_int, o_real, o_ts.
+    """Queries over triples: a frame with the columns tid, s, p, oty, o, o_int, o_real, o_ts, or a source with matching(pattern).
 
     compat: a variable that stands twice in one pattern isn't compared with itself.
     hints: hjoin and mjoin ask for their hash joins.
     """
 
-    def __init__(self, triples: DataFrame, compat: bool = False, hints: bool = True):
+    def __init__(self, triples: Any, compat: bool = False, hints: bool = True):
         self.triples, self.compat, self.hints = triples, compat, hints
 
     def execute(self, term: Any) -> Result:

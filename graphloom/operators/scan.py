@@ -27,15 +27,13 @@ def slot_filter(slot: str, value: Any) -> Column:
     return (F.col("oty") == (oty if oty == STRING else CODE)) & (F.col("o") == F.lit(v))
 
 
-def scan(triples: DataFrame, pattern: Pattern, node: int, compat: bool = False) -> Bound:
+def scan(triples: Any, pattern: Pattern, node: int, compat: bool = False) -> Bound:
     """One-node graphs of the triples that match all constants of the pattern.
 
     A variable that stands twice in the pattern must have one value; with compat it is
-    bound at its later slot and not compared.
+    bound at its later slot and not compared.  triples: a frame, or a source that makes one for a pattern.
     """
-    if triples is None:
-        raise TermError("no triples to scan")
-    frame = triples
+    frame: DataFrame = triples.matching(pattern) if hasattr(triples, "matching") else triples
     for slot, value in zip(SLOTS, pattern.slots, strict=True):
         if not is_variable(value) and not is_wildcard(value):
             frame = frame.where(slot_filter(slot, value))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Any
 
 from ..operators import join as joins
 from ..operators.bound import Bound
@@ -27,7 +27,7 @@ def variables(query: Query) -> set[str]:
     return variables(query.outer) | (set() if query.op == "differ" else variables(query.inner))
 
 
-def compile_query(query: Query, triples: DataFrame, compat: bool = False, hints: bool = True) -> Bound:
+def compile_query(query: Query, triples: Any, compat: bool = False, hints: bool = True) -> Bound:
     """The query's graphs.  Every operator of the tree becomes one DataFrame operation."""
     if isinstance(query, Scan):
         # A projection list on a scan is part of the language but without effect.

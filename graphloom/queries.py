@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .engine import Engine, Result
 from .operators import dictionary as dictionaries
 from .operators import distribution
-from .sources.relations import relation_triples
+from .sources.relations import Relations, relation_triples
 from .sources.triples import from_lexical
 from .sources.tsv import fill_ids, tokens
 
@@ -20,7 +20,7 @@ SQL: dict[str, str] = {}
 
 
 def _engine(spark: SparkSession, sf_dir: str, *tables: str) -> Engine:
-    return Engine(relation_triples(spark, sf_dir, tables or None))
+    return Engine(Relations(spark, sf_dir, tables or None))
 
 
 def _add(name: str, term: str, output: Callable[[Result], DataFrame], sql: str, *tables: str) -> None:

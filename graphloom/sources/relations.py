@@ -8,12 +8,14 @@ predicate leaves one branch and reads two columns.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .triples import typed_triple
+from ..plans.terms import Pattern, Typed, is_variable, is_wildcard
+from .triples import SCHEMA, typed_triple
 
 #: table: (key column, {column: kind}); a kind that names a table is a foreign key.
 TABLES: dict[str, tuple[str, dict[str, str]]] = {
@@ -26,18 +28,61 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
+_NAME = re.compile(r"<(\w+)/(-?[0-9]+)>")
+_ID = re.compile(r"<(\w+)/(-?[0-9]+)/(\w+)>")
+
+
+def _name(table: str, column: str) -> Column:
+    return F.concat(F.lit(f"<{table}/"), F.col(column).cast("string"), F.lit(">"))
+
+
+def _branch(frame: DataFrame, table: str, key: str, column: str, kind: str) -> DataFrame:
+    tid = F.concat(F.lit(f"<{table}/"), F.col(key).cast("string"), F.lit(f"/{column}>"))
+    value = _name(kind, column) if kind in TABLES else F.col(column)
+    row = frame.where(F.col(column).isNotNull() & F.col(key).isNotNull())
+    return row.select(*typed_triple(tid, _name(table, key), f"<{column}>", "code" if kind in TABLES else kind, value))
+
+
 def table_triples(frame: DataFrame, table: str, key: str, columns: dict[str, str]) -> DataFrame:
-    name = lambda t, c: F.concat(F.lit(f"<{t}/"), F.col(c).cast("string"), F.lit(">"))
-    branches = []
-    for column, kind in columns.items():
-        tid = F.concat(F.lit(f"<{table}/"), F.col(key).cast("string"), F.lit(f"/{column}>"))
-        value = name(kind, column) if kind in TABLES else F.col(column)
-        row = frame.where(F.col(column).isNotNull() & F.col(key).isNotNull())
-        branches.append(row.select(*typed_triple(tid, name(table, key), f"<{column}>", "code" if kind in TABLES else kind, value)))
-    return reduce(DataFrame.unionAll, branches)
+    return reduce(DataFrame.unionAll, (_branch(frame, table, key, c, kind) for c, kind in columns.items()))
+
+
+class Relations:
+    """The triples of the tables in a folder of Parquet files.
+
+    matching(pattern) makes only the branches that the pattern's constants allow, and puts constant names,
+    ids and references as filters on the plain key columns, which the Parquet reader can use to skip.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, tables: tuple[str, ...] | None = None):
+        self.tables = {t: (spark.read.parquet(f"{folder}/{t}.parquet"), *TABLES[t]) for t in tables or TABLES}
+        self.spark = spark
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionAll, (table_triples(frame, t, key, columns) for t, (frame, key, columns) in self.tables.items()))
+
+    def matching(self, pattern: Pattern) -> DataFrame:
+        """Triples among which all that match are; the caller still compares every constant."""
+        tid, s, p, o = (None if is_variable(x) or is_wildcard(x) else x.value if isinstance(x, Typed) else x for x in pattern.slots)
+        named, known = (m.fullmatch(x) if isinstance(x, str) else None for m, x in ((_NAME, s), (_ID, tid)))
+        reference = _NAME.fullmatch(o) if isinstance(o, str) else None
+        branches = []
+        for table, (frame, key, columns) in self.tables.items():
+            if (s is not None and (not named or named[1] != table)) or (tid is not None and (not known or known[1] != table)):
+                continue
+            for m in (named, known):
+                if m:
+                    frame = frame.where(F.col(key) == F.lit(int(m[2])))
+            for column, kind in columns.items():
+                if (p is not None and p != f"<{column}>") or (tid is not None and known[3] != column):
+                    continue
+                if reference and kind in TABLES:
+                    if kind == reference[1]:
+                        branches.append(_branch(frame.where(F.col(column) == F.lit(int(reference[2]))), table, key, column, kind))
+                    continue
+                branches.append(_branch(frame, table, key, column, kind))
+        return reduce(DataFrame.unionAll, branches) if branches else self.spark.createDataFrame([], SCHEMA)
 
 
 def relation_triples(spark: SparkSession, folder: str, tables: tuple[str, ...] | None = None) -> DataFrame:
-    """The triples of the tables in a folder of Parquet files."""
-    chosen = {t: TABLES[t] for t in tables or TABLES}
-    return reduce(DataFrame.unionAll, (table_triples(spark.read.parquet(f"{folder}/{t}.parquet"), t, *spec) for t, spec in chosen.items()))
+    return Relations(spark, folder, tables).all()

@@ -140,3 +140,34 @@ def test_timing():
     watch.lap("y")
     assert watch.report() == [("x", 1.0, 1.0), ("y", 4.0, 3.0)]
     assert "middle average" in report.text() and run_batch({}).average == 0.0
+
+
+@pytest.mark.parametrize("algorithm", ["predicate_based", "predicate_based_p", "random"])
+def test_loader(spark, tmp_path, algorithm):
+    from graphloom.engine import Engine
+    from graphloom.loader import Loader
+
+    source = tmp_path / "in.tsv"
+    source.write_text(EXAMPLE_TSV + "\n")
+    loader = Loader(spark, 3, algorithm)
+    loader.files.add(str(source))
+    loader.investigate()
+    assert sum(loader.pred_freq.values()) == 64
+    loader.save_maps(str(tmp_path / "maps"))
+    again = Loader(spark, 3, algorithm)
+    again.load_maps(str(tmp_path / "maps"))
+    assert (again.pred_freq, again.pred_clm) == (loader.pred_freq, loader.pred_clm)
+    (tmp_path / "more.tsv").write_text("x1\ta\tunseen\tb\n")
+    loader.files.add(str(tmp_path / "more.tsv"))
+    refused = loader.distribute(str(tmp_path / "dump"))
+    assert (refused.count() if refused is not None else 0) == (0 if algorithm == "random" else 1)
+    assert spark.read.option("sep", "\t").csv(str(tmp_path / "dump")).count() == (65 if algorithm == "random" else 64)
+    store = loader.store(str(tmp_path / "store"), 4)
+    assert Engine(store).execute('{join, {tp, {"[]", "?x", "livesIn", "ljubljana"}, none, none}, {tp, {"[]", "?x", "age", "?y"}, {"?y", less, 30}, none}, none, none}').bindings("?x").collect() == [("nika",)]
+    d = loader.encode(str(tmp_path / "enc"))
+    assert spark.read.parquet(str(tmp_path / "enc/triples")).count() == 65 and d.find("nika") is not None
+    assert loader.encode(str(tmp_path / "enc2"), d).last == d.last
+    loader.dump(str(tmp_path / "store"), str(tmp_path / "text"))
+    assert spark.read.text(str(tmp_path / "text")).count() == 65
+    with pytest.raises(ValueError):
+        Loader(spark, 3, "other")

@@ -36,3 +36,21 @@ def test_matches_sql(spark, sql, name):
     columns = sorted(got.columns)
     rows = sorted((_plain(r) for r in got.select(*columns).collect()), key=str)
     assert rows == sorted((_plain(r) for r in want.select(*(duckdb.ColumnExpression(c) for c in columns)).fetchall()), key=str)
+
+
+def test_constants_reach_the_files(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    from graphloom.engine import Engine
+    from graphloom.sources.relations import Relations
+
+    def plan(term):
+        return Engine(Relations(spark, FOLDER)).execute(term).frame._jdf.queryExecution().executedPlan().toString()
+
+    one = plan('{tp, {"[]", "<customer/7>", "<c_nationkey>", "?o"}, none, none}')
+    assert one.count("FileScan") == 1 and "EqualTo(c_custkey,7)" in one and "c_name" not in one
+    reference = plan('{tp, {"[]", "?s", "?p", "<nation/3>"}, none, none}')
+    assert "EqualTo(c_nationkey,3)" in reference and "EqualTo(s_nationkey,3)" in reference
+    by_id = plan('{tp, {"<nation/4/n_name>", "?s", "?p", "?o"}, none, none}')
+    assert by_id.count("FileScan") == 1 and "EqualTo(n_nationkey,4)" in by_id
+    assert "FileScan" not in plan('{tp, {"[]", "<nowhere/1>", "?p", "?o"}, none, none}')
