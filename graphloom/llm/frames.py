@@ -57,11 +57,6 @@ def drop_temporary() -> None:
 atexit.register(drop_temporary)
 
 
-def with_arrow_rows(spark: SparkSession, rows: int = 4096) -> None:
-    """Keep Arrow batches of texts small, whatever their lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): node and root, the smallest node reachable.
 

@@ -154,3 +154,35 @@ def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     stats = frozen(statistics(table(spark, sf_dir, "documents")))
     out = judge(stats, cutoffs(stats, table(spark, sf_dir, "labels")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
+
+
+def _sql() -> str:
+    rules = list(CUTOFFS)
+    level = DELTA / (len(rules) * (len(LANGUAGES) + 1) * (len(LENGTHS) + 1))
+    share = ALPHA / len(rules)
+    grid = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r in rules for i, c in enumerate(CUTOFFS[r]))
+    white = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{white}+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+wi AS (SELECT doc_id, i, list_slice(w, i, i + {WINDOW - 1}) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) > {WINDOW})),
+rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM wi) WHERE c > 1) GROUP BY doc_id),
+s AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rw.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, len(list_distinct(w)) AS n_types, len(l) AS n_lines,
+    CASE WHEN lang IN ({", ".join(f"'{x}'" for x in LANGUAGES)}) THEN lang ELSE 'other' END || ':' || ({" + ".join(f"(len(w) >= {n})::INTEGER" for n in LENGTHS)}) AS stratum
+    FROM d LEFT JOIN rw USING (doc_id)),
+r AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_ratio, n_upper / greatest(word_chars, 1) AS upper_ratio, n_dup_lines / greatest(n_lines, 1) AS line_ratio, 1 - n_types / greatest(n_words, 1) AS type_ratio,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s),
+v AS (SELECT doc_id, stratum, base_failed, unnest([{", ".join(f"{{'rule': '{r}', 'v': {r}}}" for r in rules)}], recursive := true) FROM r),
+grid(rule, i, cutoff) AS (VALUES {grid}),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+tests AS (SELECT stratum, rule, i, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM v SEMI JOIN good USING (doc_id) JOIN grid USING (rule) WHERE NOT base_failed GROUP BY ALL),
+ok AS (SELECT *, k <= {share} * n AND list_sum(list_transform(range(0, least(k, ({share} * n)::BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share})))) <= {level} AS fine FROM tests),
+stop AS (SELECT stratum, rule, min(i) FILTER (NOT fine) AS stop_i FROM ok GROUP BY ALL),
+chosen AS (SELECT stratum, rule, min(cutoff) AS most FROM ok JOIN stop USING (stratum, rule) WHERE stop_i IS NULL OR i < stop_i GROUP BY ALL),
+failed AS (SELECT DISTINCT doc_id FROM v JOIN chosen USING (stratum, rule) WHERE v > most)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (FROM failed) AS kept, stratum FROM r
+"""
+
+
+OP2_SQL = _sql()

@@ -9,7 +9,7 @@ from .licenses import op7_licenses
 from .packing import op10_packing
 from .passages import OP3_SQL, op3_passages
 from .pii import op1_pii
-from .quality_rules import op2_quality_rules
+from .quality_rules import OP2_SQL, op2_quality_rules
 from .secrets import op9_secrets
 from .simhash import op4_simhash
 
@@ -26,4 +26,4 @@ def pipeline(spark, sf_dir: str):
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_passages": OP3_SQL, "op5_forest": OP5_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op3_passages": OP3_SQL, "op5_forest": OP5_SQL}

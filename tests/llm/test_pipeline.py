@@ -41,7 +41,7 @@ def test_sql(spark):
     from graphloom.llm.queries import oracle_sql, queries
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     for name, sql in oracle_sql().items():
         got = queries()[name](spark, FOLDER)
