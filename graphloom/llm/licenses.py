@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import table
+from .spans import Disjoint
 from .wordarrays import slices
 
 #: Phrases and their labels.
@@ -182,13 +183,9 @@ def detections(low: bytes) -> list[tuple[int, int, str, int]]:
         if keyword in low:
             for r in group:
                 found += [(m.start(), m.end(), r.label, r.priority) for m in r.expression.finditer(low)]
-    kept: list[tuple[int, int, str, int]] = []
-    most = 0
-    for d in sorted(set(found), key=lambda d: (-d[3], d[0] - d[1], d[0], d[2])):
-        clash = any(d[0] < k[1] and k[0] < d[1] for k in kept) if d[0] < most else False
-        if not clash:
-            kept.append(d)
-            most = max(most, d[1])
+    taken = Disjoint()
+    strongest = sorted(set(found), key=lambda d: (-d[3], d[0] - d[1], d[0], d[2]))
+    kept = [d for d in strongest if taken.add(d[0], d[1])]
     return sorted(kept)
 
 

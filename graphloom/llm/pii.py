@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spans import Disjoint, code_points
 from .wordarrays import Words, slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -325,6 +326,17 @@ def crf_spans(words: Words, model: Crf) -> list[tuple[int, str, int, int]]:
     return out
 
 
+def _cover(spans: list) -> Disjoint:
+    """The positions that spans (by start) cover."""
+    out: list[tuple[int, int]] = []
+    for _, s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return Disjoint(out)
+
+
 def scan(texts: list[bytes], model: Crf) -> list[tuple[list, list]]:
     """For each text its pattern spans and all spans, as (kind, start, end) in code points."""
     more: dict[int, list] = {}
@@ -337,11 +349,13 @@ def scan(texts: list[bytes], model: Crf) -> list[tuple[list, list]]:
             continue
         base = pattern_spans(raw.decode())
         spans = list(base)
-        for kind, s, e in more.get(d, ()):
-            s = len(raw[:s].decode())
-            e = len(raw[:e].decode())
-            if all(e <= a or b <= s for _, a, b in base):
-                spans.append((kind, s, e))
+        if d in more:
+            # Spans of different kinds may overlap in the patterns; what the field adds overlaps none of them.
+            taken, at = _cover(base), code_points(raw)
+            for kind, s, e in more[d]:
+                s, e = int(at[s]), int(at[e])
+                if taken.free(s, e):
+                    spans.append((kind, s, e))
         out.append((base, sorted(spans, key=lambda x: (x[1], _ORDER[x[0]], x[2]))))
     return out
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import table
+from .spans import Disjoint, code_points
 from .wordarrays import slices
 
 FEATURES = ("length", "entropy", "digits", "upper", "signs", "changes", "vowels", "covered", "hex", "distinct", "named", "public", "quoted", "assigned", "test_path", "prefix", "parts", "repeat")
@@ -40,15 +41,15 @@ _KIND[48:58], _KIND[65:91], _KIND[97:123] = 1, 2, 3
 
 def candidates(text: bytes) -> list[tuple[int, int]]:
     """Byte spans to judge, without overlaps; of overlapping ones the assigned value, then the earlier, stays."""
-    found = [m.span(1) for m in _ASSIGNED.finditer(text)] if b"=" in text or b":" in text else []
+    found = Disjoint(m.span(1) for m in _ASSIGNED.finditer(text)) if b"=" in text or b":" in text else Disjoint()
     for m in _RUN.finditer(text):
         s, e = m.span()
         while e > s and text[e - 1] in b".-":
             e -= 1
         kinds = set(_KIND[np.frombuffer(text[s:e], np.uint8)].tolist())
-        if e - s >= 16 and (1 in kinds or {2, 3} <= kinds) and all(e <= a or b <= s for a, b in found):
-            found.append((s, e))
-    return sorted(found)
+        if e - s >= 16 and (1 in kinds or {2, 3} <= kinds):
+            found.add(s, e)
+    return found.spans
 
 
 def describe(text: bytes, span: tuple[int, int], path: str) -> list[float]:
@@ -225,9 +226,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             paths = batch.column(2).to_pylist()
             rows, spans, x = [], [], []
             for i, t in enumerate(raw):
-                for span in candidates(t):
+                found = candidates(t)
+                at = code_points(t) if found else None
+                for span in found:
                     rows.append(i)
-                    spans.append(tuple(len(t[:k].decode()) for k in span))
+                    spans.append(tuple(int(at[k]) for k in span))
                     x.append(describe(t, span, paths[i] or ""))
             score = model.score(np.array(x)) if x else np.zeros(0)
             start, end = (pa.array([s[k] for s in spans], pa.int64()) for k in (0, 1))

@@ -525,3 +525,34 @@ def test_packing(docs, monkeypatch):
             assert offset == at
             at += length
         assert at == 2048 or at & (at - 1) == 0
+
+
+# ------------------------------------------------------------------ spans
+
+
+def test_disjoint():
+    from graphloom.llm.spans import Disjoint, code_points
+
+    rnd = random.Random(1)
+    d, plain = Disjoint(), []
+    for _ in range(500):
+        s = rnd.randint(0, 400)
+        e = s + rnd.randint(1, 9)
+        free = all(e <= a or b <= s for a, b in plain)
+        assert d.free(s, e) == free and d.add(s, e) == free
+        plain += [(s, e)] * free
+    assert d.spans == sorted(plain)
+    assert code_points("aé日😀".encode()).tolist() == [0, 1, 2, 2, 3, 3, 3, 4, 4, 4, 4]
+
+
+def test_many_findings_in_one_text():
+    """A text of nothing but findings takes time in proportion to its length."""
+    import time
+
+    for run, part in ((lambda t: pii.scan([t], pii.train()), b"+1 (017) 555-7713 x@y.zz, (415) 555-0199 "), (licenses.detections, b"the mit license. spdx-license-identifier: gpl-2.0 "), (secrets.candidates, b'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ')):
+        times = []
+        for n in (500, 8000):
+            began = time.process_time()
+            run(part * n)
+            times.append(time.process_time() - began)
+        assert times[1] < 60 * max(times[0], 0.02)
