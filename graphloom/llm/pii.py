@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,15 @@ from .wordarrays import Words, slices
 KINDS = ("email", "ip", "card", "phone")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    # An email is looked for from its sign; the part before it is found by going back.
+    "email": re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    # What fails from a run's first digit fails from its others too.
+    "ip": re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 _DIGIT = re.compile(r"[0-9]")
+_LOCAL = string.ascii_letters + string.digits + "._%+-"
 
 
 def _luhn(digits: str) -> bool:
@@ -47,15 +51,32 @@ def _valid(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(int(p) <= 255 for p in found.split("."))
+        return all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in found.split("."))
     digits = "".join(c for c in found if "0" <= c <= "9")
     return 9 <= len(digits) <= 15 if kind == "phone" else 12 <= len(digits) <= 19 and _luhn(digits)
 
 
+def _matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches without overlaps, in time proportional to the text's length."""
+    if kind != "email":
+        for m in PATTERNS[kind].finditer(text):
+            yield m.span()
+        return
+    after = 0
+    at = text.find("@")
+    while at >= 0:
+        start = after + len(text[after:at].rstrip(_LOCAL))
+        m = PATTERNS[kind].match(text, at) if start < at else None
+        if m:
+            yield start, m.end()
+        after = m.end() if m else at + 1
+        at = text.find("@", after)
+
+
 def pattern_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the matches that pass their checks, by start, then kind."""
     kinds = ("email",) * ("@" in text) + ("ip", "card", "phone") * bool(_DIGIT.search(text))
-    found = [(k, m.start(), m.end()) for k in kinds for m in PATTERNS[k].finditer(text) if _valid(k, m[0])]
+    found = [(k, s, e) for k in kinds for s, e in _matches(k, text) if _valid(k, text[s:e])]
     return sorted(found, key=lambda s: (s[1], _ORDER[s[0]]))
 
 

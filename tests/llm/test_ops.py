@@ -556,3 +556,17 @@ def test_many_findings_in_one_text():
             run(part * n)
             times.append(time.process_time() - began)
         assert times[1] < 60 * max(times[0], 0.02)
+
+
+def test_patterns_match_as_written():
+    import re
+
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    rnd = random.Random(12)
+    for alphabet in ("a@.-1 ", "12.3 ", "+1 ()-2.", "@a.b@.", "4 1-0"):
+        for _ in range(3000):
+            t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30)))
+            for kind, pattern in plain.items():
+                assert list(pii._matches(kind, t)) == [m.span() for m in re.finditer(pattern, t)], (kind, t)
+    long = "a" * 300_000 + " b@c.de " + "1" * 300_000 + ".1.1.1 " + "@" * 300_000
+    assert pii.pattern_spans(long) == [("email", 300_001, 300_007)]
