@@ -26,7 +26,8 @@ class Dictionary:
     def append(self, strings: DataFrame) -> "Dictionary":
         """With ids for the strings (column str) that have none, in order of the strings; null has no id."""
         new = strings.select("str").where("str IS NOT NULL").distinct().join(self.entries, "str", "left_anti")
-        numbered = number_rows(new.orderBy("str"), "id", self.last + 1)
+        # Kept, since every use must see the same ids.
+        numbered = number_rows(new.orderBy("str"), "id", self.last + 1).persist()
         entries = self.entries.unionByName(numbered)
         last = numbered.agg(F.max("id")).first()[0]
         return Dictionary(entries, last or self.last)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import heapq
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def predicate_frequency(triples: DataFrame) -> DataFrame:
-    """p, freq: counts, combined before the shuffle."""
+def predicate_frequency(triples: Any) -> DataFrame:
+    """p, freq: counts, combined before the shuffle.  A source that can count its own predicates does."""
+    if hasattr(triples, "predicate_frequency"):
+        return triples.predicate_frequency()
     return triples.groupBy("p").agg(F.count("*").alias("freq"))
 
 

@@ -216,13 +216,13 @@ QUERIES["tokenise"] = _tokenise
 SQL["tokenise"] = """SELECT '<' || n_name || '>' AS s, '<key>' AS p, '"' || n_regionkey || '"' AS o, CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 24 END::BIGINT AS filled FROM nation"""
 
 # ------------------------------------------------------------------ statistics, distribution
-QUERIES["pred_freq"] = lambda spark, d: distribution.predicate_frequency(relation_triples(spark, d))
+QUERIES["pred_freq"] = lambda spark, d: distribution.predicate_frequency(Relations(spark, d))
 SQL["pred_freq"] = f"SELECT p1 AS p, count(*) AS freq FROM ({_ALL}) GROUP BY p1"
 
 
 def _assigned(assign):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        freq = distribution.collect_frequency(distribution.predicate_frequency(relation_triples(spark, sf_dir)))
+        freq = distribution.collect_frequency(distribution.predicate_frequency(Relations(spark, sf_dir)))
         return spark.createDataFrame(sorted(assign(freq, 4).items()), "p string, clm int")
 
     return run

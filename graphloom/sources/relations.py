@@ -55,11 +55,27 @@ class Relations:
     """
 
     def __init__(self, spark: SparkSession, folder: str, tables: tuple[str, ...] | None = None):
-        self.tables = {t: (spark.read.parquet(f"{folder}/{t}.parquet"), *TABLES[t]) for t in tables or TABLES}
-        self.spark = spark
+        self.spark, self.folder = spark, folder
+        self.tables = {t: TABLES[t] for t in tables or TABLES}
+        self.frames: dict[str, DataFrame] = {}
+
+    def frame(self, table: str) -> DataFrame:
+        """A table, opened when it is first needed."""
+        if table not in self.frames:
+            self.frames[table] = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return self.frames[table]
 
     def all(self) -> DataFrame:
-        return reduce(DataFrame.unionAll, (table_triples(frame, t, key, columns) for t, (frame, key, columns) in self.tables.items()))
+        return reduce(DataFrame.unionAll, (table_triples(self.frame(t), t, key, columns) for t, (key, columns) in self.tables.items()))
+
+    def predicate_frequency(self) -> DataFrame:
+        """p, freq: one scan a table, each column counted by itself."""
+        counts = []
+        for table, (key, columns) in self.tables.items():
+            one = self.frame(table).where(F.col(key).isNotNull()).agg(*(F.count(c).alias(c) for c in columns))
+            pairs = F.array(*(F.struct(F.lit(f"<{c}>").alias("p"), F.col(c).alias("freq")) for c in columns))
+            counts.append(one.select(F.explode(pairs).alias("x")).select("x.p", "x.freq").where("freq > 0"))
+        return reduce(DataFrame.unionAll, counts)
 
     def matching(self, pattern: Pattern) -> DataFrame:
         """Triples among which all that match are; the caller still compares every constant."""
@@ -67,19 +83,20 @@ class Relations:
         named, known = (m.fullmatch(x) if isinstance(x, str) else None for m, x in ((_NAME, s), (_ID, tid)))
         reference = _NAME.fullmatch(o) if isinstance(o, str) else None
         branches = []
-        for table, (frame, key, columns) in self.tables.items():
+        for table, (key, columns) in self.tables.items():
             if (s is not None and (not named or named[1] != table)) or (tid is not None and (not known or known[1] != table)):
                 continue
-            for m in (named, known):
-                if m:
-                    frame = frame.where(F.col(key) == F.lit(int(m[2])))
             for column, kind in columns.items():
                 if (p is not None and p != f"<{column}>") or (tid is not None and known[3] != column):
                     continue
+                frame = self.frame(table)
+                for m in (named, known):
+                    if m:
+                        frame = frame.where(F.col(key) == F.lit(int(m[2])))
                 if reference and kind in TABLES:
-                    if kind == reference[1]:
-                        branches.append(_branch(frame.where(F.col(column) == F.lit(int(reference[2]))), table, key, column, kind))
-                    continue
+                    if kind != reference[1]:
+                        continue
+                    frame = frame.where(F.col(column) == F.lit(int(reference[2])))
                 branches.append(_branch(frame, table, key, column, kind))
         return reduce(DataFrame.unionAll, branches) if branches else self.spark.createDataFrame([], SCHEMA)
 

@@ -40,9 +40,12 @@ def read_tsv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def number_rows(frame: DataFrame, name: str, first: int = 1) -> DataFrame:
     """frame with a running number over its rows in their order.
 
-    Rows are counted by partition; only these counts meet in one place, never the rows.
+    Rows are counted by partition; only these counts meet in one place, never the rows.  Behind a shuffle
+    the two passes might see other partitions, so such a frame is kept between them.
     """
     marked = frame.withColumn("__at", F.monotonically_increasing_id())
+    if "Exchange" in frame._jdf.queryExecution().executedPlan().toString():
+        marked = marked.persist()
     part = F.shiftright("__at", 33)
     counts = marked.groupBy(part.alias("__part")).count()
     starts, total = {}, first

@@ -54,3 +54,13 @@ def test_constants_reach_the_files(spark):
     by_id = plan('{tp, {"<nation/4/n_name>", "?s", "?p", "?o"}, none, none}')
     assert by_id.count("FileScan") == 1 and "EqualTo(n_nationkey,4)" in by_id
     assert "FileScan" not in plan('{tp, {"[]", "<nowhere/1>", "?p", "?o"}, none, none}')
+
+
+def test_own_counts_equal_counted_triples(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    from graphloom.operators.distribution import predicate_frequency
+    from graphloom.sources.relations import Relations
+
+    r = Relations(spark, FOLDER)
+    assert sorted(predicate_frequency(r).collect()) == sorted(predicate_frequency(r.all()).collect())
