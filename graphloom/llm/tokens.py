@@ -10,12 +10,12 @@ from __future__ import annotations
 import base64
 import functools
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 from tokenizers import AddedToken, Regex, Tokenizer, models, pre_tokenizers
 
-MOST_CHUNKS = 600_000  # a bound on memory only: beyond it the cache keeps what was used thrice or more
+MOST_CHUNKS = 1_500_000  # a bound on memory only: beyond it the cache keeps what was used thrice or more
 
 
 @functools.cache
@@ -63,7 +63,6 @@ def from_file(path: str) -> Tokenizer:
     return out
 
 
-_ODD_GAP = re.compile(r"\s\s|^\s|\s$|[^\S\n ]")
 _ODD_WORD_GAP = re.compile(r"[^\S\n\t\r\x0b\x0c ]")
 #: One match of the word vocabulary's pattern: letters, or signs without an apostrophe.
 _ONE_WORD = re.compile(r"[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
@@ -121,7 +120,9 @@ class Encoder:
     def _add(self, chunks: list[str]) -> None:
         """Encode new chunks: those of one kind of white space and word joined to long texts, which the library
         does much faster, the others one by one."""
-        joins = [c for c in chunks if self._joins(c)]
+        joins, rest = [], []
+        for c in chunks:
+            (joins if self._joins(c) else rest).append(c)
         for i in range(0, len(joins), 2000):
             some = joins[i : i + 2000]
             ids = np.array(self.tokenizer.encode(("" if self.keeps_space else " ").join(some), add_special_tokens=False).ids, np.uint32)
@@ -134,7 +135,6 @@ class Encoder:
             if len(ends) != len(some) or ends[-1] != len(ids):
                 raise ValueError("a chunk isn't encoded on its own")
             self._place(some, ids, np.diff(ends, prepend=0))
-        rest = [c for c in chunks if not self._joins(c)]
         if rest:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -160,10 +160,12 @@ class Encoder:
 
     def _chunks(self, text: str) -> list[str]:
         if not self.keeps_space:
+            if any(c in text for c in "\x1c\x1d\x1e\x1f") or not (text.isascii() or not _ODD_WORD_GAP.search(text)):
+                return [text]
             # bytes.lower() lowers A-Z only, which the vocabulary's normalizer does too.
-            return [text] if _ODD_WORD_GAP.search(text) else _SIGN.sub(r" \g<0>", text.encode().lower().decode()).split()
-        if _ODD_GAP.search(text):
-            # Only single spaces and line ends between words are cut at; other texts stay whole.
+            return _SIGN.sub(r" \g<0>", text.encode().lower().decode()).split()
+        if " ".join(text.split()) != text.replace("\n", " "):
+            # Only single blanks and line ends between words are of the simple kind; other texts stay whole.
             return [text]
         first, *rest = text.split(" ")
         return [first, *[" " + w for w in rest]]
@@ -173,11 +175,14 @@ class Encoder:
         if len(self.at) > MOST_CHUNKS:
             self._sweep()
         chunked = [self._chunks(t) if t else [] for t in texts]
-        new = set().union(*chunked).difference(self.at)
-        if new:
-            self._add(sorted(new))
         counts = np.fromiter(map(len, chunked), np.int64, len(chunked))
-        at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(chunked)), np.int64, int(counts.sum()))
+        chunks = list(chain.from_iterable(chunked))
+        at = np.fromiter(map(self.at.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = [chunks[i] for i in missing]
+            self._add(list(dict.fromkeys(new)))
+            at[missing] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
         self.hits[: self.n] += np.bincount(at, minlength=self.n)
         size = self.size[at]
         ends = np.cumsum(size)
