@@ -42,7 +42,7 @@ GRAM = 24
 PHRASE = 18
 BITMAP = 26
 SHARD_ROWS = 512
-_POS, _ROW = 25, 18
+_POS, _ROW, _BLOCK = 25, 18, 9
 
 
 def _places(batch: pa.RecordBatch) -> np.ndarray:
@@ -170,24 +170,43 @@ def _confirm(batches):
             kept_first = bool(sure[-1])
 
 
+def _blocks(sources, window):
+    """The words of texts that windows are taken from, in blocks of positions with the rest of their last windows."""
+
+    def run(batches):
+        for batch in batches:
+            chosen = batch.filter(pa.array(_hits(sources.value, batch.column("hash").to_numpy().view(np.uint64))))
+            at, block, text = [], [], []
+            for place, t in zip(chosen.column("at").to_pylist(), chosen.column("text").to_pylist(), strict=True):
+                words = (t or "").encode().split()
+                for i in range(0, len(words) - window + 1, 1 << _BLOCK):
+                    at.append(place)
+                    block.append(i >> _BLOCK)
+                    text.append(b" ".join(words[i : i + (1 << _BLOCK) + window - 1]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(block, pa.int32()), pa.array(text, pa.string())], ["at", "block", "text"])
+
+    return run
+
+
 def _passages(window):
-    """Rows of (row, text, places of confirmed windows in it with the shards that need them): passages by shard."""
+    """Rows of (block, text, places of confirmed windows in it with the shards that need them): passages by shard."""
 
     def run(batches):
         for batch in batches:
+            shards, texts = [], []
             for i in range(batch.num_rows):
-                words = (batch.column("text")[i].as_py() or "").encode().split()
+                words = batch.column("text")[i].as_py().encode().split()
                 shard = batch.column("shards")[i].values.to_numpy()
-                pos = batch.column("positions")[i].values.to_numpy()
+                pos = batch.column("positions")[i].values.to_numpy() - (batch.column("block")[i].as_py() << _BLOCK)
                 order = np.lexsort((pos, shard))
                 shard, pos = shard[order], pos[order]
                 new = np.ones(len(pos), bool)
                 new[1:] = (shard[1:] != shard[:-1]) | (pos[1:] > pos[:-1] + 1)
                 begin = np.flatnonzero(new)
                 end = pos[np.concatenate([begin[1:] - 1, [len(pos) - 1]])] + window
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard[begin]), pa.array([b" ".join(words[s:e]).decode() for s, e in zip(pos[begin], end, strict=True)], pa.string())], ["shard", "text"]
-                )
+                shards += shard[begin].tolist()
+                texts += [b" ".join(words[s:e]).decode() for s, e in zip(pos[begin].tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(texts, pa.string())], ["shard", "text"])
 
     return run
 
@@ -284,19 +303,15 @@ def _repeated(docs: DataFrame, emit, schema: str, window: int, gram: int, phrase
     found = sharded.select("row", "text").mapInArrow(_candidates(filled, window, gram), "h long, s int, place long")
     sure = frozen(found.repartition(n, "h").sortWithinPartitions("h", F.shiftright("s", 1), "place").mapInArrow(_confirm, "shard long, place long"))
     rows = sure.select(F.shiftright("place", _POS).alias("at"), "shard", F.col("place").bitwiseAND(F.lit((1 << _POS) - 1)).alias("pos"))
-    # Confirmed windows by the document and block of positions they are taken from.
-    block = rows.groupBy("at", F.shiftright("pos", 9).alias("block"), F.pmod("shard", F.lit(64)).alias("salt")).agg(F.collect_list(F.struct("shard", "pos")).alias("c"))
-    block = block.select("at", F.col("c.shard").alias("shards"), F.col("c.pos").alias("positions"))
+    # Confirmed windows by the document and block of positions they are taken from, for 64 shards at a time.
+    key = ("at", F.shiftright("pos", _BLOCK).alias("block"))
+    wanted = rows.groupBy(*key, F.shiftright("shard", 6).alias("group")).agg(F.collect_list(F.struct("shard", "pos")).alias("c"))
+    wanted = wanted.select("at", "block", F.col("c.shard").alias("shards"), F.col("c.pos").alias("positions"))
     part = F.shiftright("row", 33)
     at = F.shiftleft(part, _ROW).bitwiseOR(F.col("row").bitwiseAND(F.lit((1 << 33) - 1)))
     sources = spark.sparkContext.broadcast(bitmap(rows.select(F.xxhash64("at").alias("h")).distinct(), bits))
-
-    def only_sources(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_hits(sources.value, batch.column("hash").to_numpy().view(np.uint64))))
-
-    places = sharded.select(at.alias("at"), F.xxhash64(at).alias("hash"), "text").mapInArrow(only_sources, "at long, hash long, text string").drop("hash")
-    passages = places.join(block, "at").mapInArrow(_passages(window), "shard long, text string")
+    places = sharded.select(at.alias("at"), F.xxhash64(at).alias("hash"), "text").mapInArrow(_blocks(sources, window), "at long, block int, text string")
+    passages = places.join(wanted, ["at", "block"]).mapInArrow(_passages(window), "shard long, text string")
     names = ["id", *extra]
     kinds = dict(docs.dtypes)
     passages = passages.select("shard", F.lit(0).alias("kind"), "text", *(F.lit(None).cast(kinds[c]).alias(c) for c in names))
