@@ -229,8 +229,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Ids name documents: rows that repeat an id are copies of one document, and one of them stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("kept_id")).distinct()
+    found = frozen(near_duplicates(docs, id_col, text_col))
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias("kept_id")).agg(F.count("*").alias("rows"))
+    # Whole rows are compared only if an id is repeated, which the ids alone tell.
+    repeated = bool(kept.where("rows > 1 OR kept_id IS NULL").limit(1).count())
+    if not repeated:
+        return docs.join(kept, F.col(id_col) == F.col("kept_id"), "left_semi")
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([id_col])
 
 
