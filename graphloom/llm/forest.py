@@ -7,7 +7,8 @@ small, further splits take directions by level and medians of the leaf's sample,
 vectors.  A node that spilling doesn't make smaller (a dense cloud) is a leaf.  Vectors are
 compared within leaves, in double precision; a leaf of more than BLOCK vectors is compared block
 by block, all blocks with all, so that no leaf needs more memory than two blocks.  Links found in
-any tree are united.
+any tree are united: every vector carries the names of its earlier leaves, and a pair is reported only in
+the first leaf where it meets.
 
 Equal vectors are one vector with a multiplicity, so copies are neither shuffled nor paired.
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import components, frozen, partitions, table
+from .wordarrays import mix
 
 FIT_ROWS = 20_000
 TREES = 8
@@ -110,25 +112,55 @@ def unit(batch: pa.RecordBatch, at: int) -> np.ndarray:
 
 
 def _assign(forest: Forest, vectors: bool):
+    """A row per vector and leaf; with vectors also the vector and the names of those of its leaves that come earlier."""
+
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = unit(batch, 1)
-            for t in range(len(forest.trees)):
-                row, code = forest.leaves(x, t)
-                cols = [pa.array(np.full(len(row), t, np.int32)), pa.array(code)]
-                names = ["tree", "leaf"]
-                if vectors:
-                    cols += [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))]
-                    names += ["rep", "v"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+            found = [forest.leaves(x, t) for t in range(len(forest.trees))]
+            row = np.concatenate([r for r, _ in found])
+            code = np.concatenate([c for _, c in found])
+            tree = np.repeat(np.arange(len(found), dtype=np.int32), [len(r) for r, _ in found])
+            if not vectors:
+                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(code)], ["tree", "leaf"])
+                continue
+            # A leaf's name in the order in which leaves of all trees come.
+            name = mix(code.astype(np.uint64) ^ mix(tree.astype(np.uint64), 3)).view(np.int64)
+            order = np.lexsort((name, row))
+            row, code, tree, name = row[order], code[order], tree[order], name[order]
+            begin = np.searchsorted(row, row)
+            for s in range(0, len(row), 8192):
+                e = min(len(row), s + 8192)
+                earlier = np.arange(s, e) - begin[s:e]
+                ends = np.cumsum(earlier)
+                at = np.arange(int(ends[-1])) + np.repeat(begin[s:e] - (ends - earlier), earlier)
+                codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(name[at]))
+                take = pa.array(row[s:e])
+                yield pa.RecordBatch.from_arrays([pa.array(tree[s:e]), pa.array(code[s:e]), batch.column(0).take(take), batch.column(1).take(take), codes], ["tree", "leaf", "rep", "v", "codes"])
 
     return run
 
 
+def _met_before(codes: pa.ListArray, rows: int) -> np.ndarray:
+    """Which pairs of rows share an earlier leaf, where they have been compared already."""
+    out = np.zeros((rows, rows), bool)
+    name = codes.flatten().to_numpy()
+    if not len(name):
+        return out
+    row = np.repeat(np.arange(rows), np.diff(codes.offsets.to_numpy()))
+    order = np.argsort(name, kind="stable")
+    name, row = name[order], row[order]
+    edge = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    for s, e in zip(edge, [*edge[1:], len(name)], strict=True):
+        if e - s > 1:
+            out[np.ix_(row[s:e], row[s:e])] = True
+    return out
+
+
 def _compare(similarity: float):
-    """Rows sorted by tree, leaf, pair of blocks, block: pairs of similar vectors within each."""
+    """Rows sorted by tree, leaf, pair of blocks, block: similar pairs that meet in no earlier leaf, so each pair comes once."""
 
     def work(group: list[pa.RecordBatch]):
         part = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
@@ -137,16 +169,21 @@ def _compare(similarity: float):
         x, rep, block = unit(part, 6), part.column(5).to_numpy(), part.column(4).to_numpy()
         one = part.column(2)[0].as_py() == part.column(3)[0].as_py()
         cut = len(x) if one else int(np.searchsorted(block, block[0], side="right"))
-        left = np.arange(cut)
-        right = left if one else np.arange(cut, len(x))
-        if not len(right):
+        right = 0 if one else cut
+        if right == len(x):
             return
-        for i in range(0, len(left), 512):
-            some = left[i : i + 512]
-            a, b = np.nonzero(x[some] @ x[right].T >= similarity)
-            a, b = some[a], right[b]
+        before = None
+        for i in range(0, cut, 512):
+            close = x[i : min(cut, i + 512)] @ x[right:].T >= similarity
+            a, b = np.nonzero(close)
+            a, b = a + i, b + right
             keep = a < b
-            a, b = rep[a[keep]], rep[b[keep]]
+            a, b = a[keep], b[keep]
+            if not len(a):
+                continue
+            before = _met_before(part.column(7), len(x)) if before is None else before
+            new = ~before[a, b]
+            a, b = rep[a[new]], rep[b[new]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
@@ -182,13 +219,13 @@ def link_pairs(distinct: DataFrame, similarity: float = 0.9, fit_rows: int = FIT
     sizes = distinct.select("rep", "v").mapInArrow(_assign(forest, False), "tree int, leaf long").groupBy("tree", "leaf").count()
     large = sizes.where(F.col("count") > block).select("tree", "leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     kind = dict(distinct.dtypes)
-    rows = distinct.select("rep", "v").mapInArrow(_assign(forest, True), f"tree int, leaf long, rep {kind['rep']}, v {kind['v']}")
+    rows = distinct.select("rep", "v").mapInArrow(_assign(forest, True), f"tree int, leaf long, rep {kind['rep']}, v {kind['v']}, codes array<long>")
     rows = rows.join(large, ["tree", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("tree", "leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "v")
+    rows = rows.select("tree", "leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "v", "codes")
     rows = rows.repartition(partitions(spark), "tree", "leaf", "p", "q").sortWithinPartitions("tree", "leaf", "p", "q", "own")
-    return rows.mapInArrow(_compare(similarity), f"a {kind['rep']}, b {kind['rep']}").distinct()
+    return rows.mapInArrow(_compare(similarity), f"a {kind['rep']}, b {kind['rep']}")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", similarity: float = 0.9) -> DataFrame:

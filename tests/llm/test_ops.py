@@ -318,9 +318,11 @@ def test_forest(spark):
     # Small leaves, blocks and a small sample give the same links.
     copies = {tuple(v) for v in x}
     distinct = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(sorted(copies))], "rep long, v array<double>")
-    whole = {tuple(r) for r in forest.link_pairs(distinct).collect()}
-    parts = {tuple(r) for r in forest.link_pairs(distinct, block=7).collect()}
-    assert whole == parts
+    rows = [tuple(r) for r in forest.link_pairs(distinct).collect()]
+    whole = set(rows)
+    assert len(rows) == len(whole)
+    parts = [tuple(r) for r in forest.link_pairs(distinct, block=7).collect()]
+    assert whole == set(parts) and len(parts) == len(whole)
     few = {tuple(r) for r in forest.link_pairs(distinct, fit_rows=100).collect()}
     assert few <= whole and len(few) >= 0.9 * len(whole)
 
