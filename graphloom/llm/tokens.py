@@ -15,7 +15,7 @@ from itertools import chain, repeat
 import numpy as np
 from tokenizers import AddedToken, Regex, Tokenizer, models, pre_tokenizers
 
-MOST_CHUNKS = 1_500_000  # a bound on memory only: beyond it the cache keeps what was used thrice or more
+MOST_CHUNKS = 700_000  # a bound on memory only: beyond it the cache keeps what was used thrice or more
 
 
 @functools.cache
