@@ -23,6 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,19 +144,18 @@ def _assign(forest: Forest, vectors: bool):
     return run
 
 
-def _met_before(codes: pa.ListArray, rows: int) -> np.ndarray:
-    """Which pairs of rows share an earlier leaf, where they have been compared already."""
-    out = np.zeros((rows, rows), bool)
+def _met_before(codes: pa.ListArray, chosen: np.ndarray) -> np.ndarray:
+    """Which pairs of the chosen rows share an earlier leaf, where they have been compared already."""
+    out = np.zeros((len(chosen), len(chosen)), bool)
+    codes = codes.take(pa.array(chosen))
     name = codes.flatten().to_numpy()
-    if not len(name):
-        return out
-    row = np.repeat(np.arange(rows), np.diff(codes.offsets.to_numpy()))
+    row = np.repeat(np.arange(len(chosen)), pc.list_value_length(codes).to_numpy())
     order = np.argsort(name, kind="stable")
     name, row = name[order], row[order]
-    edge = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-    for s, e in zip(edge, [*edge[1:], len(name)], strict=True):
-        if e - s > 1:
-            out[np.ix_(row[s:e], row[s:e])] = True
+    begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+    size = np.diff([*begin, len(name)]) if len(name) else begin
+    for s, n in zip(begin[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        out[np.ix_(row[s : s + n], row[s : s + n])] = True
     return out
 
 
@@ -172,20 +172,18 @@ def _compare(similarity: float):
         right = 0 if one else cut
         if right == len(x):
             return
-        before = None
+        pairs = []
         for i in range(0, cut, 512):
-            close = x[i : min(cut, i + 512)] @ x[right:].T >= similarity
-            a, b = np.nonzero(close)
+            a, b = np.nonzero(x[i : min(cut, i + 512)] @ x[right:].T >= similarity)
             a, b = a + i, b + right
-            keep = a < b
-            a, b = a[keep], b[keep]
-            if not len(a):
-                continue
-            before = _met_before(part.column(7), len(x)) if before is None else before
-            new = ~before[a, b]
-            a, b = rep[a[new]], rep[b[new]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            pairs.append(np.stack([a, b])[:, a < b])
+        a, b = np.concatenate(pairs, 1)
+        if not len(a):
+            return
+        chosen, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        new = ~_met_before(part.column(7), chosen)[at[: len(a)], at[len(a) :]]
+        a, b = rep[a[new]], rep[b[new]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
