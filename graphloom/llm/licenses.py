@@ -2,8 +2,8 @@
 
 Four base phrases are found as runs of words.  Beyond them, a few hundred rules (signatures of
 names, identifiers, links, dedications and terms, written per license) are regular expressions over the
-lower-cased text; each runs only where its keyword occurs, and only in texts with a master
-keyword at all.  Rules are ordered: on overlap the match of higher priority stays, at equal priority the
+lower-cased text; each runs only in texts that hold all the literal words that a match of it must
+have, which are read off the expression.  Rules are ordered: on overlap the match of higher priority stays, at equal priority the
 longer one; a match contained in another's interval is suppressed.
 
 Defined cases: a null or empty text has no words, no places and score 0; repeated rows are scanned each
@@ -31,94 +31,101 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _IN, _OUT = rb"[0-9a-z\x80-\xff]", rb"[^0-9a-z\x80-\xff]"
 
-# label | keyword | names (regular expressions) | identifiers | links.  An empty field has no rule.
+# label | names (regular expressions) | identifiers | links.  An empty field has no rule.
 _TABLE = r"""
-apache-2.0|apache|apache (?:software )?license,? (?:version|v\.?) ?2(?:\.0)?;apache 2(?:\.0)? license|apache-2\.0|apache\.org/licenses/license-2\.0
-apache-1.1|apache|apache (?:software )?license,? (?:version|v\.?) ?1\.1|apache-1\.1|apache\.org/licenses/license-1\.1
-mit|mit|(?:the )?mit licen[sc]e;licensed under (?:the )?mit\b;mit/x11 license|mit|opensource\.org/licenses/mit
-x11|x11|(?:the )?x11 licen[sc]e|x11|
-isc|isc|(?:the )?isc licen[sc]e|isc|opensource\.org/licenses/isc
-bsd-2-clause|bsd|(?:2|two)-clause bsd licen[sc]e;simplified bsd licen[sc]e;freebsd licen[sc]e|bsd-2-clause|opensource\.org/licenses/bsd-2-clause
-bsd-3-clause|bsd|(?:3|three)-clause bsd licen[sc]e;(?:new|modified|revised) bsd licen[sc]e|bsd-3-clause|opensource\.org/licenses/bsd-3-clause
-bsd-4-clause|bsd|(?:4|four)-clause bsd licen[sc]e;original bsd licen[sc]e|bsd-4-clause|
-bsd|bsd|bsd(?:-style)? licen[sc]e|0bsd|
-gpl-2.0|general public|gnu general public licen[sc]e,? (?:version|v\.?) ?2;gplv2\b;gpl ?v?2(?:\.0)?\b|gpl-2\.0(?:-only|-or-later|\+)?|gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0
-gpl-3.0|general public|gnu general public licen[sc]e,? (?:version|v\.?) ?3;gplv3\b;gpl ?v?3(?:\.0)?\b|gpl-3\.0(?:-only|-or-later|\+)?|gnu\.org/licenses/gpl(?:-3\.0)?
-lgpl-2.1|lesser|gnu lesser general public licen[sc]e,? (?:version|v\.?) ?2(?:\.1)?;lgplv2(?:\.1)?\b|lgpl-2\.1(?:-only|-or-later|\+)?|gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1
-lgpl-3.0|lesser|gnu lesser general public licen[sc]e,? (?:version|v\.?) ?3;lgplv3\b|lgpl-3\.0(?:-only|-or-later|\+)?|gnu\.org/licenses/lgpl(?:-3\.0)?
-lgpl|lesser|(?:gnu )?lesser general public licen[sc]e;gnu library general public licen[sc]e|lgpl|
-agpl-3.0|affero|gnu affero general public licen[sc]e(?:,? (?:version|v\.?) ?3)?;agplv3\b|agpl-3\.0(?:-only|-or-later|\+)?|gnu\.org/licenses/agpl(?:-3\.0)?
-gfdl|free documentation|gnu free documentation licen[sc]e|gfdl-1\.[123](?:-only|-or-later)?|gnu\.org/licenses/fdl
-mpl-2.0|mozilla|mozilla public licen[sc]e,? (?:version|v\.?) ?2(?:\.0)?;mplv2\b|mpl-2\.0|mozilla\.org/mpl/2\.0
-mpl-1.1|mozilla|mozilla public licen[sc]e,? (?:version|v\.?) ?1\.1|mpl-1\.1|mozilla\.org/mpl/mpl-1\.1
-epl-2.0|eclipse|eclipse public licen[sc]e(?: -|,)? ?(?:version|v\.?) ?2(?:\.0)?|epl-2\.0|eclipse\.org/legal/epl-2\.0
-epl-1.0|eclipse|eclipse public licen[sc]e(?: -|,)? ?(?:version|v\.?) ?1(?:\.0)?|epl-1\.0|eclipse\.org/legal/epl-v10
-cddl-1.0|common development|common development and distribution licen[sc]e|cddl-1\.[01]|opensource\.org/licenses/cddl
-cpl-1.0|common public|common public licen[sc]e|cpl-1\.0|
-eupl|european union|european union public licen[sc]e|eupl-1\.[12]|
-artistic-2.0|artistic|(?:perl )?artistic licen[sc]e 2(?:\.0)?|artistic-2\.0|
-artistic|artistic|(?:the )?artistic licen[sc]e|artistic-1\.0|
-zlib|zlib|zlib(?:/libpng)? licen[sc]e|zlib|opensource\.org/licenses/zlib
-boost-1.0|boost|boost software licen[sc]e|bsl-1\.0|boost\.org/license_1_0
-unlicense|unlicense|(?:the )?unlicense\b|unlicense|unlicense\.org
-wtfpl|do what the|do what the \w+ you want to public licen[sc]e|wtfpl|wtfpl\.net
-postgresql|postgresql|postgresql licen[sc]e|postgresql|
-python-2.0|python|python software foundation licen[sc]e;psf licen[sc]e|python-2\.0|
-php-3.01|php|(?:the )?php licen[sc]e|php-3\.01|
-openssl|openssl|openssl licen[sc]e|openssl|
-ofl-1.1|font|(?:sil )?open font licen[sc]e|ofl-1\.1|scripts\.sil\.org/ofl
-odbl|open database|open database licen[sc]e|odbl-1\.0|opendatacommons\.org/licenses/odbl
-odc-by|open data commons|open data commons attribution licen[sc]e|odc-by-1\.0|opendatacommons\.org/licenses/by
-pddl|public domain dedication|public domain dedication and licen[sc]e|pddl-1\.0|opendatacommons\.org/licenses/pddl
-ms-pl|microsoft|microsoft public licen[sc]e|ms-pl|
-ms-rl|microsoft|microsoft reciprocal licen[sc]e|ms-rl|
-osl-3.0|open software|open software licen[sc]e|osl-3\.0|
-afl-3.0|academic free|academic free licen[sc]e|afl-3\.0|
-sspl-1.0|server side|server side public licen[sc]e|sspl-1\.0|
-busl-1.1|business source|business source licen[sc]e|busl-1\.1|
-elastic-2.0|elastic|elastic licen[sc]e(?: 2(?:\.0)?)?|elastic-2\.0|
-ncsa|illinois|university of illinois(?:/ncsa)? open source licen[sc]e|ncsa|
-vim|vim|vim licen[sc]e|vim|
-ruby|ruby|ruby licen[sc]e|ruby|
-ecl-2.0|educational|educational community licen[sc]e|ecl-2\.0|
-intel|intel|intel open source licen[sc]e|intel|
-ibm-pibs|ibm|ibm public licen[sc]e|ipl-1\.0|
-qpl-1.0|q public|q public licen[sc]e|qpl-1\.0|
-sleepycat|sleepycat|sleepycat licen[sc]e|sleepycat|
-watcom|watcom|sybase open watcom public licen[sc]e|watcom-1\.0|
-zpl-2.1|zope|zope public licen[sc]e|zpl-2\.1|
-upl-1.0|universal|universal permissive licen[sc]e|upl-1\.0|
-mulan-2.0|mulan|mulan (?:psl|permissive software licen[sc]e)|mulanpsl-2\.0|
+apache-2.0|apache (?:software )?license,? (?:version|v\.?) ?2(?:\.0)?;apache 2(?:\.0)? license|apache-2\.0|apache\.org/licenses/license-2\.0
+apache-1.1|apache (?:software )?license,? (?:version|v\.?) ?1\.1|apache-1\.1|apache\.org/licenses/license-1\.1
+mit|(?:the )?mit licen[sc]e;licensed under (?:the )?mit\b;mit/x11 license|mit|opensource\.org/licenses/mit
+x11|(?:the )?x11 licen[sc]e|x11|
+isc|(?:the )?isc licen[sc]e|isc|opensource\.org/licenses/isc
+bsd-2-clause|(?:2|two)-clause bsd licen[sc]e;simplified bsd licen[sc]e;freebsd licen[sc]e|bsd-2-clause|opensource\.org/licenses/bsd-2-clause
+bsd-3-clause|(?:3|three)-clause bsd licen[sc]e;(?:new|modified|revised) bsd licen[sc]e|bsd-3-clause|opensource\.org/licenses/bsd-3-clause
+bsd-4-clause|(?:4|four)-clause bsd licen[sc]e;original bsd licen[sc]e|bsd-4-clause|
+bsd|bsd(?:-style)? licen[sc]e|0bsd|
+gpl-2.0|gnu general public licen[sc]e,? (?:version|v\.?) ?2;gplv2\b;gpl ?v?2(?:\.0)?\b|gpl-2\.0(?:-only|-or-later|\+)?|gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0
+gpl-3.0|gnu general public licen[sc]e,? (?:version|v\.?) ?3;gplv3\b;gpl ?v?3(?:\.0)?\b|gpl-3\.0(?:-only|-or-later|\+)?|gnu\.org/licenses/gpl(?:-3\.0)?
+lgpl-2.1|gnu lesser general public licen[sc]e,? (?:version|v\.?) ?2(?:\.1)?;lgplv2(?:\.1)?\b|lgpl-2\.1(?:-only|-or-later|\+)?|gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1
+lgpl-3.0|gnu lesser general public licen[sc]e,? (?:version|v\.?) ?3;lgplv3\b|lgpl-3\.0(?:-only|-or-later|\+)?|gnu\.org/licenses/lgpl(?:-3\.0)?
+lgpl|(?:gnu )?lesser general public licen[sc]e;gnu library general public licen[sc]e|lgpl|
+agpl-3.0|gnu affero general public licen[sc]e(?:,? (?:version|v\.?) ?3)?;agplv3\b|agpl-3\.0(?:-only|-or-later|\+)?|gnu\.org/licenses/agpl(?:-3\.0)?
+gfdl|gnu free documentation licen[sc]e|gfdl-1\.[123](?:-only|-or-later)?|gnu\.org/licenses/fdl
+mpl-2.0|mozilla public licen[sc]e,? (?:version|v\.?) ?2(?:\.0)?;mplv2\b|mpl-2\.0|mozilla\.org/mpl/2\.0
+mpl-1.1|mozilla public licen[sc]e,? (?:version|v\.?) ?1\.1|mpl-1\.1|mozilla\.org/mpl/mpl-1\.1
+epl-2.0|eclipse public licen[sc]e(?: -|,)? ?(?:version|v\.?) ?2(?:\.0)?|epl-2\.0|eclipse\.org/legal/epl-2\.0
+epl-1.0|eclipse public licen[sc]e(?: -|,)? ?(?:version|v\.?) ?1(?:\.0)?|epl-1\.0|eclipse\.org/legal/epl-v10
+cddl-1.0|common development and distribution licen[sc]e|cddl-1\.[01]|opensource\.org/licenses/cddl
+cpl-1.0|common public licen[sc]e|cpl-1\.0|
+eupl|european union public licen[sc]e|eupl-1\.[12]|
+artistic-2.0|(?:perl )?artistic licen[sc]e 2(?:\.0)?|artistic-2\.0|
+artistic|(?:the )?artistic licen[sc]e|artistic-1\.0|
+zlib|zlib(?:/libpng)? licen[sc]e|zlib|opensource\.org/licenses/zlib
+boost-1.0|boost software licen[sc]e|bsl-1\.0|boost\.org/license_1_0
+unlicense|(?:the )?unlicense\b|unlicense|unlicense\.org
+wtfpl|do what the \w+ you want to public licen[sc]e|wtfpl|wtfpl\.net
+postgresql|postgresql licen[sc]e|postgresql|
+python-2.0|python software foundation licen[sc]e;psf licen[sc]e|python-2\.0|
+php-3.01|(?:the )?php licen[sc]e|php-3\.01|
+openssl|openssl licen[sc]e|openssl|
+ofl-1.1|(?:sil )?open font licen[sc]e|ofl-1\.1|scripts\.sil\.org/ofl
+odbl|open database licen[sc]e|odbl-1\.0|opendatacommons\.org/licenses/odbl
+odc-by|open data commons attribution licen[sc]e|odc-by-1\.0|opendatacommons\.org/licenses/by
+pddl|public domain dedication and licen[sc]e|pddl-1\.0|opendatacommons\.org/licenses/pddl
+ms-pl|microsoft public licen[sc]e|ms-pl|
+ms-rl|microsoft reciprocal licen[sc]e|ms-rl|
+osl-3.0|open software licen[sc]e|osl-3\.0|
+afl-3.0|academic free licen[sc]e|afl-3\.0|
+sspl-1.0|server side public licen[sc]e|sspl-1\.0|
+busl-1.1|business source licen[sc]e|busl-1\.1|
+elastic-2.0|elastic licen[sc]e(?: 2(?:\.0)?)?|elastic-2\.0|
+ncsa|university of illinois(?:/ncsa)? open source licen[sc]e|ncsa|
+vim|vim licen[sc]e|vim|
+ruby|ruby licen[sc]e|ruby|
+ecl-2.0|educational community licen[sc]e|ecl-2\.0|
+intel|intel open source licen[sc]e|intel|
+ibm-pibs|ibm public licen[sc]e|ipl-1\.0|
+qpl-1.0|q public licen[sc]e|qpl-1\.0|
+sleepycat|sleepycat licen[sc]e|sleepycat|
+watcom|sybase open watcom public licen[sc]e|watcom-1\.0|
+zpl-2.1|zope public licen[sc]e|zpl-2\.1|
+upl-1.0|universal permissive licen[sc]e|upl-1\.0|
+mulan-2.0|mulan (?:psl|permissive software licen[sc]e)|mulanpsl-2\.0|
 """.strip().splitlines()
 _CC = {"by": "attribution", "by-sa": "attribution-?share ?alike", "by-nd": "attribution-?no ?deriv(?:ative)?s?", "by-nc": "attribution-?non-?commercial", "by-nc-sa": "attribution-?non-?commercial-?share ?alike", "by-nc-nd": "attribution-?non-?commercial-?no ?deriv(?:ative)?s?"}
 _CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-#: label | keyword | expression: grants, dedications and reservations without a license's name.
+#: label | expressions: grants, dedications and reservations without a license's name.
 _TERMS = r"""
-all-rights-reserved|rights reserved|all rights reserved
-public-domain|public domain|(?:dedicated|released|placed) (?:in)?to the public domain;in the public domain;no copyright reserved
-cc0-1.0|cc0|cc0(?: 1\.0)?(?: universal)?;creativecommons\.org/publicdomain/zero/1\.0
-cc-pdm|publicdomain/mark|creativecommons\.org/publicdomain/mark/1\.0
-proprietary|proprietary|proprietary and confidential;proprietary licen[sc]e
-proprietary|confidential|strictly confidential;confidential and proprietary
-non-commercial|commercial|for non-?commercial (?:use|purposes) only;not for commercial use
-no-redistribution|redistribut|(?:may not be|do not) redistributed?;redistribution (?:is )?(?:strictly )?(?:prohibited|forbidden)
-mit|permission is hereby|permission is hereby granted, free of charge, to any person obtaining a copy
-isc|permission to use|permission to use, copy, modify, and(?:/or)? distribute this software for any purpose
-bsd|redistribution and use|redistribution and use in source and binary forms, with or without modification
-gpl|free software|this (?:program|library) is free software[:;,] you can redistribute it
-gpl|general public|gnu general public licen[sc]e;gnu gpl\b
-apache|apache|apache licen[sc]e
-zlib|as-is|this software is provided 'as-is', without any express or implied warranty
-gfdl|permission is granted to copy|permission is granted to copy, distribute and/or modify this document
+all-rights-reserved|all rights reserved
+public-domain|(?:dedicated|released|placed) (?:in)?to the public domain;in the public domain;no copyright reserved
+cc0-1.0|cc0(?: 1\.0)?(?: universal)?;creativecommons\.org/publicdomain/zero/1\.0
+cc-pdm|creativecommons\.org/publicdomain/mark/1\.0
+proprietary|proprietary and confidential;proprietary licen[sc]e
+proprietary|strictly confidential;confidential and proprietary
+non-commercial|for non-?commercial (?:use|purposes) only;not for commercial use
+no-redistribution|(?:may not be|do not) redistributed?;redistribution (?:is )?(?:strictly )?(?:prohibited|forbidden)
+mit|permission is hereby granted, free of charge, to any person obtaining a copy
+isc|permission to use, copy, modify, and(?:/or)? distribute this software for any purpose
+bsd|redistribution and use in source and binary forms, with or without modification
+gpl|this (?:program|library) is free software[:;,] you can redistribute it
+gpl|gnu general public licen[sc]e;gnu gpl\b
+apache|apache licen[sc]e
+zlib|this software is provided 'as-is', without any express or implied warranty
+gfdl|permission is granted to copy, distribute and/or modify this document
 """.strip().splitlines()
-#: Any text with a license has one of these.
-_MASTER = (b"licen", b"copyright", b"reserved", b"public domain", b"spdx", b"creative", b"cc by", b"cc-by", b"cc0", b"gpl", b"redistribut", b"permission", b"proprietary", b"confidential", b"commercial", b"opensource.org", b"gnu.org", b"publicdomain", b"opendatacommons", b"as-is", b"free software")
+# Parts of an expression that aren't literal: groups (one level inside another), classes and escapes; what a quantifier makes optional goes too.
+_OPEN = re.compile(r"(?:\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|\[(?:[^\]\\]|\\.)*\]|\\[a-zA-Z])(?:[?*+]|\{[^}]*\})?|(?:\\.|[^\\])(?:[?*]|\{[^}]*\})")
+
+
+def literals(expression: str) -> tuple[str, ...]:
+    """The literal words, without blanks, that every match holds: the rarest, by its length, first."""
+    words = {w for run in _OPEN.sub("\n", expression).split("\n") for w in re.sub(r"\\(.)", r"\1", run).split()}
+    return tuple(sorted((w for w in words if len(w) > 1), key=lambda w: (w == "licen", -len(w), w)))
 
 
 class Rule:
-    def __init__(self, label: str, kind: str, priority: int, keyword: bytes, expression: bytes):
-        self.label, self.kind, self.priority, self.keyword = label, kind, priority, keyword
-        self.expression = re.compile(expression)
+    def __init__(self, label: str, kind: str, priority: int, expression: str):
+        self.label, self.kind, self.priority = label, kind, priority
+        self.keyword, *self.others = (w.encode() for w in literals(expression))
+        self.expression = re.compile((r"(?<![0-9a-z])(?:" + expression + r")(?![0-9a-z])").encode())
 
 
 def _spaced(expression: str) -> str:
@@ -131,32 +138,31 @@ def rules() -> tuple[Rule, ...]:
     """All rules, the strongest kind first: identifiers, links, names, terms."""
     out = []
 
-    def add(label, kind, priority, keyword, expression):
+    def add(label, kind, priority, expression):
         if expression:
-            out.append(Rule(label, kind, priority, keyword.encode(), (r"(?<![0-9a-z])(?:" + expression + r")(?![0-9a-z])").encode()))
+            out.append(Rule(label, kind, priority, expression))
 
     for line in _TABLE:
-        label, keyword, names, ids, links = re.split(r"\|(?![^(]*\))", line)
+        label, names, ids, links = re.split(r"\|(?![^(]*\))", line)
         for i, name in enumerate(names.split(";")):
-            words = re.findall(r"[a-z0-9]{3,}", re.sub(r"\(\?:[^)]*\)\??|\\.|licen\S*", " ", name))
-            add(label, "name", 60 - i, max(words, key=len, default=keyword), _spaced(name))
-        add(label, "id", 90, "spdx", r"spdx-license-identifier:\s*" + ids)
-        add(label, "tag", 70, "licen", r"licen[sc]ed?(?: |\s*[:=]\s*[\"']?)" + ids)
-        add(label, "link", 80, links.split(r"\.")[0] if links else "", links)
+            add(label, "name", 60 - i, _spaced(name))
+        add(label, "id", 90, r"spdx-license-identifier:\s*" + ids)
+        add(label, "tag", 70, r"licen[sc]ed?(?: |\s*[:=]\s*[\"']?)" + ids)
+        add(label, "link", 80, links)
     for code, name in _CC.items():
         for version in _CC_VERSIONS:
             v = re.escape(version)
             label = f"cc-{code}-{version}"
-            add(label, "name", 65, "cc", rf"cc[\s-]{code.replace('-', '[ -]')}[\s-](?:v\.?)?{v}")
-            add(label, "link", 85, "creativecommons", rf"creativecommons\.org/licenses/{code}/{v}")
-            add(label, "long", 66, "creative", _spaced(rf"creative commons {name} {v}"))
-            add(label, "id", 90, "spdx", rf"spdx-license-identifier:\s*cc-{code}-{v}")
-        add(f"cc-{code}", "name", 50, "cc", rf"cc[\s-]{code.replace('-', '[ -]')}")
-        add(f"cc-{code}", "long", 51, "creative", _spaced(f"creative commons {name}"))
+            add(label, "name", 65, rf"cc[\s-]{code.replace('-', '[ -]')}[\s-](?:v\.?)?{v}")
+            add(label, "link", 85, rf"creativecommons\.org/licenses/{code}/{v}")
+            add(label, "long", 66, _spaced(rf"creative commons {name} {v}"))
+            add(label, "id", 90, rf"spdx-license-identifier:\s*cc-{code}-{v}")
+        add(f"cc-{code}", "name", 50, rf"cc[\s-]{code.replace('-', '[ -]')}")
+        add(f"cc-{code}", "long", 51, _spaced(f"creative commons {name}"))
     for line in _TERMS:
-        label, keyword, forms = re.split(r"\|(?![^(]*\))", line)
-        for form in forms.split(";"):
-            add(label, "term", 40, keyword, _spaced(form))
+        label, forms = re.split(r"\|(?![^(]*\))", line)
+        for form in re.split(r";(?![^\[]*\])", forms):  # not at a ; of a class
+            add(label, "term", 40, _spaced(form))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -176,13 +182,12 @@ def _phrases() -> tuple[tuple[str, bytes, re.Pattern], ...]:
 
 def detections(low: bytes) -> list[tuple[int, int, str, int]]:
     """(start, end, label, priority) of the rules' matches in a lower-cased text that no stronger or longer one suppresses."""
-    if not any(k in low for k in _MASTER):
-        return []
     found = []
     for keyword, group in _by_keyword().items():
         if keyword in low:
             for r in group:
-                found += [(m.start(), m.end(), r.label, r.priority) for m in r.expression.finditer(low)]
+                if all(w in low for w in r.others):
+                    found += [(m.start(), m.end(), r.label, r.priority) for m in r.expression.finditer(low)]
     taken = Disjoint()
     strongest = sorted(set(found), key=lambda d: (-d[3], d[0] - d[1], d[0], d[2]))
     kept = [d for d in strongest if taken.add(d[0], d[1])]

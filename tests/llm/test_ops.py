@@ -408,6 +408,54 @@ def test_license_rules():
     assert [d[2] for d in found] == ["lgpl-2.1", "mit"] and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
 
 
+def _sample(parsed, rnd):
+    """A random text that a parsed expression matches; white space may be a line end or a comment sign."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, value = rnd.choice(arg)
+            out += {"LITERAL": lambda: chr(value), "RANGE": lambda: chr(rnd.randint(*value)), "CATEGORY": lambda: rnd.choice(" \n") if "SPACE" in str(value) else "w"}[str(kind)]()
+        elif name == "BRANCH":
+            out += _sample(rnd.choice(arg[1]), rnd)
+        elif name == "SUBPATTERN":
+            out += _sample(arg[-1], rnd)
+        elif name == "MAX_REPEAT":
+            out += "".join(_sample(arg[2], rnd) for _ in range(rnd.randint(arg[0], min(arg[1], arg[0] + 2))))
+        else:
+            assert name in ("AT", "ASSERT_NOT"), name
+    return out
+
+
+def test_license_keywords_stand_in_every_match():
+    from re import _parser
+
+    rnd = random.Random(4)
+    for r in licenses.rules():
+        parsed = _parser.parse(r.expression.pattern.decode())
+        for _ in range(30):
+            text = f". {_sample(parsed, rnd)} .".encode()
+            m = r.expression.search(text)
+            assert m, (r.expression.pattern, text)
+            assert all(w in m[0] and not w.split()[1:] for w in (r.keyword, *r.others))
+            found = licenses.detections(text)
+            assert any(s < m.end() and m.start() < e and p >= r.priority for s, e, _, p in found)
+
+
+def test_license_forms_without_other_words():
+    label = lambda t: [d[2] for d in licenses.detections(t.lower().encode())]
+    assert label("released under the GNU GPL") == ["gpl"] and label("GPLv3 or GPL 2") == ["gpl-3.0", "gpl-2.0"]
+    assert label("https://creativecommons.org/publicdomain/zero/1.0/") == ["cc0-1.0"]
+    assert label("no copyright reserved") == ["public-domain"]
+    assert label("# All rights\n# reserved") == ["all-rights-reserved"] and label("in the public\n * domain") == ["public-domain"]
+    assert label("/* Permission\n * is hereby granted, free\n * of charge, to any person obtaining\n * a copy */") == ["mit"]
+    assert label("Redistribution\nand use in source and binary\nforms, with or without\nmodification") == ["bsd"]
+    for sign in ";:,":
+        assert label(f"# This program is free\n# software{sign} you can redistribute it") == ["gpl"]
+
+
 # ------------------------------------------------------------------ 8 classifier
 
 
