@@ -4,7 +4,8 @@ Patterns find emails, IPv4 addresses, payment cards (Luhn) and international pho
 A conditional random field, trained here from a small labelled table, labels every word; its
 runs of one label become further spans where no pattern matched, e.g. phone numbers without a
 plus sign and spelled-out emails.  Words are described by their shape only.  Decoding is exact
-Viterbi over all sequences (lines, cut after 256 words) of a batch at once.
+Viterbi over all sequences (whole lines) of a batch at once; a long line is decoded in pieces, chained by
+the best scores between their ends, which gives the labels of the whole line.
 
 Defined cases: a null text is an empty one and has no spans; repeated rows are scanned each on
 its own; other columns of the input are ignored by find_pii and kept by redact.
@@ -159,6 +160,55 @@ def viterbi(emission: np.ndarray, start: np.ndarray, length: np.ndarray, transit
     return path
 
 
+def _between(emission: np.ndarray, start: np.ndarray, length: np.ndarray, transition: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """The best score of each piece by the label before it (none before pieces that open a sequence) and its last label."""
+    order = np.argsort(-length, kind="stable")
+    begin, size = start[order], length[order]
+    active = np.searchsorted(-size, -np.arange(size[0]), side="left")
+    step = transition.astype(np.float64)
+    score = np.where(opens[order][:, None, None], 0.0, step) + emission[begin][:, None]
+    for t in range(1, int(size[0])):
+        n = active[t]
+        score[:n] = (score[:n, :, :, None] + step).max(2) + emission[begin[:n] + t][:, None]
+    out = np.empty_like(score)
+    out[order] = score
+    return out
+
+
+def decode(emission: np.ndarray, start: np.ndarray, length: np.ndarray, transition: np.ndarray, piece: int = 256) -> np.ndarray:
+    """viterbi()'s labels of whole sequences, in about as many steps as a piece has words.
+
+    The pieces of a long sequence are scored for every label before them and every last label; the
+    best chain of these fixes the labels at the pieces' ends, and each piece is decoded between them.
+    """
+    pieces = -(-length // piece)
+    if not (pieces > 1).any():
+        return viterbi(emission, start, length, transition)
+    line = np.repeat(np.arange(len(start)), pieces)
+    within = np.arange(len(line)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    at, size = start[line] + within * piece, np.minimum(piece, length[line] - within * piece)
+    cut = np.flatnonzero(pieces[line] > 1)
+    opens = within[cut] == 0
+    between = _between(emission, at[cut], size[cut], transition, opens)
+    back, score = np.zeros((len(cut), N_LABELS), np.int64), None
+    last = np.zeros(len(cut), np.int64)
+    for i in range(len(cut)):
+        chained = between[i] if opens[i] else score[:, None] + between[i]
+        back[i], score = chained.argmax(0), chained.max(0)
+        last[i] = score.argmax()
+    for i in range(len(cut) - 1, 0, -1):
+        if not opens[i]:
+            last[i - 1] = back[i, last[i]]
+    emission = emission.copy()
+    inner = np.flatnonzero(~opens)
+    emission[at[cut[inner]]] += transition[last[inner - 1]]
+    ends = at[cut] + size[cut] - 1
+    fixed = emission[ends, last]
+    emission[ends] = -np.inf
+    emission[ends, last] = fixed
+    return viterbi(emission, at, size, transition)
+
+
 class Crf:
     """Weights by label of a word's shape and of its neighbours' shapes, and of label pairs."""
 
@@ -175,8 +225,8 @@ class Crf:
         return out
 
 
-def sequences(words: Words, most: int = 256) -> np.ndarray:
-    """Index of each sequence's first word: a text's or a line's first word, and every most-th word of a line."""
+def sequences(words: Words) -> np.ndarray:
+    """Index of each sequence's first word: a text's or a line's first word."""
     n = len(words)
     if not n:
         return np.zeros(0, np.int64)
@@ -184,9 +234,7 @@ def sequences(words: Words, most: int = 256) -> np.ndarray:
     line = lines[words.start]
     new = np.ones(n, bool)
     new[1:] = line[1:] != line[:-1]
-    begin = np.flatnonzero(new)
-    within = np.arange(n) - np.repeat(begin, np.diff([*begin, n]))
-    return np.flatnonzero(within % most == 0)
+    return np.flatnonzero(new)
 
 
 #: The labelled table: words with {kind: words}; each line is one sequence.
@@ -327,7 +375,7 @@ def crf_spans(words: Words, model: Crf) -> list[tuple[int, str, int, int]]:
     first = np.zeros(len(words), bool)
     first[begin] = True
     codes = shape_codes(words)
-    label = viterbi(model.emission(codes, first), begin, np.diff([*begin, len(words)]), model.transition)
+    label = decode(model.emission(codes, first), begin, np.diff([*begin, len(words)]), model.transition)
     edge = np.ones(len(words), bool)
     edge[1:] = (label[1:] != label[:-1]) | first[1:]
     runs = np.flatnonzero(edge)

@@ -137,6 +137,28 @@ def test_viterbi_is_exact():
         assert tuple(got[s : s + n]) == best
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 256])
+def test_long_lines_decode_as_a_whole(piece):
+    rng = np.random.default_rng(piece)
+    length = np.array([1, 40, 3, 7, 6, 700, 21, 2])
+    start = np.concatenate([[0], np.cumsum(length)[:-1]])
+    e, tr = rng.normal(size=(length.sum(), pii.N_LABELS)), 2 * rng.normal(size=(pii.N_LABELS,) * 2)
+    assert (pii.decode(e, start, length, tr, piece) == pii.viterbi(e, start, length, tr)).all()
+
+
+@pytest.mark.parametrize("after", [256, 512])
+def test_fields_across_word_256(after):
+    model = pii.train()
+    for kind, field, cue in (("email", "jane dot doe at example dot org", "write"), ("phone", "020 7946 0958", "tel")):
+        short = f"{cue} {field} for more"
+        ((_, want),) = pii.scan([short.encode()], model)
+        assert want == [(kind, len(cue) + 1, len(cue) + 1 + len(field))]
+        for inside in range(1 + len(field.split())):
+            text = "word " * (after - 1 - inside) + short
+            ((_, spans),) = pii.scan([text.encode()], model)
+            assert [(k, text[s:e]) for k, s, e in spans] == [(kind, field)], inside
+
+
 def test_field_learns_its_table_and_leaves_plain_text():
     model = pii.train()
     for ws, gold in pii._labelled():
