@@ -21,7 +21,7 @@ The bitmap only saves work: as it fills up, more windows reach step 3, with the
 
 Defined cases: a null or empty text has no words and stays as it is; equal rows are separate
 places, so all copies of a long text lose their words; ids may be null or repeated; a text may hold
-up to 2^25 words, and an input partition 2^18 rows.
+up to 2^25 words.  Rows are numbered densely over all partitions, whatever their sizes, up to 2^38 rows.
 """
 
 from __future__ import annotations
@@ -42,16 +42,21 @@ GRAM = 24
 PHRASE = 18
 BITMAP = 26
 SHARD_ROWS = 512
-_POS, _ROW, _BLOCK = 25, 18, 9
+_POS, _BLOCK = 25, 9
 
 
-def _places(batch: pa.RecordBatch) -> np.ndarray:
-    """The place of each row: partition and row number, without the position of a word."""
-    at = batch.column("row").to_numpy()
-    part, row = at >> 33, at & ((1 << 33) - 1)
-    if len(at) and (part.max() >= 1 << (63 - _POS - _ROW) or row.max() >= 1 << _ROW):
-        raise ValueError("an input partition holds too many rows; repartition the documents")
-    return (part << _ROW | row) << _POS
+def _numbered(marked: DataFrame) -> DataFrame:
+    """marked, a stored table, with at: a dense number over all rows, from row (the partition and the row's number in it) and the partitions' counts."""
+    part = F.shiftright("row", 33)
+    starts, total = [], 0
+    for r in sorted(marked.groupBy(part.alias("part")).count().toLocalIterator(), key=lambda r: r["part"]):
+        starts.append((r["part"], total))
+        total += r["count"]
+    if total > 1 << (63 - _POS):
+        raise ValueError("more than 2^38 rows")
+    starts = marked.sparkSession.createDataFrame(starts, "part long, before long")
+    numbered = marked.withColumn("part", part).join(F.broadcast(starts), "part")  # a row a partition
+    return numbered.withColumn("at", F.col("before") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "before", "row")
 
 
 def _inside(w: Words, window: int) -> np.ndarray:
@@ -118,7 +123,7 @@ def _candidates(bits, window, gram):
             at = np.flatnonzero(inside & _hits(bits.value, anchor))
             if not len(at):
                 continue
-            place = _places(batch)[w.doc[at]] + (at - w.first[w.doc[at]])
+            place = (batch.column("at").to_numpy() << _POS)[w.doc[at]] + (at - w.first[w.doc[at]])
             shard = place >> _POS >> 9
             first, second = first[at], second[at]
             order = np.lexsort((place, shard, second, first))
@@ -296,26 +301,24 @@ def _repeated(docs: DataFrame, emit, schema: str, window: int, gram: int, phrase
     """emit's rows for all documents; docs has the columns id, text and extra."""
     spark = docs.sparkSession
     n = partitions(spark)
-    sharded = frozen(docs.withColumn("row", F.monotonically_increasing_id()))
+    sharded = _numbered(frozen(docs.withColumn("row", F.monotonically_increasing_id())))
     anchors = sharded.select("text").mapInArrow(_count_anchors(window, gram), "h long, n int")
     repeated = anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     filled = spark.sparkContext.broadcast(bitmap(repeated, bits))
-    found = sharded.select("row", "text").mapInArrow(_candidates(filled, window, gram), "h long, s int, place long")
+    found = sharded.select("at", "text").mapInArrow(_candidates(filled, window, gram), "h long, s int, place long")
     sure = frozen(found.repartition(n, "h").sortWithinPartitions("h", F.shiftright("s", 1), "place").mapInArrow(_confirm, "shard long, place long"))
     rows = sure.select(F.shiftright("place", _POS).alias("at"), "shard", F.col("place").bitwiseAND(F.lit((1 << _POS) - 1)).alias("pos"))
     # Confirmed windows by the document and block of positions they are taken from, for 64 shards at a time.
     key = ("at", F.shiftright("pos", _BLOCK).alias("block"))
     wanted = rows.groupBy(*key, F.shiftright("shard", 6).alias("group")).agg(F.collect_list(F.struct("shard", "pos")).alias("c"))
     wanted = wanted.select("at", "block", F.col("c.shard").alias("shards"), F.col("c.pos").alias("positions"))
-    part = F.shiftright("row", 33)
-    at = F.shiftleft(part, _ROW).bitwiseOR(F.col("row").bitwiseAND(F.lit((1 << 33) - 1)))
     sources = spark.sparkContext.broadcast(bitmap(rows.select(F.xxhash64("at").alias("h")).distinct(), bits))
-    places = sharded.select(at.alias("at"), F.xxhash64(at).alias("hash"), "text").mapInArrow(_blocks(sources, window), "at long, block int, text string")
+    places = sharded.select("at", F.xxhash64("at").alias("hash"), "text").mapInArrow(_blocks(sources, window), "at long, block int, text string")
     passages = places.join(wanted, ["at", "block"]).mapInArrow(_passages(window), "shard long, text string")
     names = ["id", *extra]
     kinds = dict(docs.dtypes)
     passages = passages.select("shard", F.lit(0).alias("kind"), "text", *(F.lit(None).cast(kinds[c]).alias(c) for c in names))
-    documents = sharded.select(F.shiftright(at, 9).alias("shard"), F.lit(1).alias("kind"), "text", *names)
+    documents = sharded.select(F.shiftright("at", 9).alias("shard"), F.lit(1).alias("kind"), "text", *names)
     both = passages.union(documents)
     return both.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_stream(window, phrase, emit), schema)
 

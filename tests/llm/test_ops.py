@@ -242,6 +242,14 @@ def test_passages_small_windows(spark):
     assert [got[i] for i in range(40)] == brute.passages(texts, 9)
 
 
+def test_passages_of_a_large_partition(spark):
+    n, words = (1 << 18) + 5, " ".join(f"w{i}" for i in range(40))
+    text = F.when(F.col("id").isin(0, n - 1), "head " + words).when(F.col("id") == n - 3, words + " tail").otherwise("x")
+    frame = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = passages.digest(frame.union(frame.where("doc_id < 3")), bits=12).where("n_words > 1 OR n_removed > 0").collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(0, 41, 41), (0, 41, 41), (n - 3, 41, 40), (n - 1, 41, 41)]
+
+
 def test_remove_repeats_keeps_the_rest(docs):
     out = {r.doc_id: r for r in passages.remove_repeats(docs).collect()}
     for i, (n, gone, sha) in enumerate(brute.passages(TEXTS)):
