@@ -213,29 +213,34 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.where("g < 0").select("a", "b").union(stars)
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """fp, its smallest id and root (the smallest fingerprint reachable over links) of each distinct fingerprint."""
+    distinct = frozen(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = components(links(distinct)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp and component (the smallest id reachable over links) of each row of docs."""
     prints = frozen(fingerprints(docs, id_col, text_col))
-    distinct = frozen(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(distinct)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints)
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(least, "root").select("fp", "component")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one row of each component: the document with its smallest id stays.
+    """docs without all but one row of each component: that with the smallest id, nulls last, then the smallest hash of its text, then the first.
 
-    Ids name documents: rows that repeat an id are copies of one document, and one of them stays.
+    Rows are told apart by their place in a stored copy, so ids may be null or name several texts.
     """
-    found = frozen(near_duplicates(docs, id_col, text_col))
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias("kept_id")).agg(F.count("*").alias("rows"))
-    # Whole rows are compared only if an id is repeated, which the ids alone tell.
-    repeated = bool(kept.where("rows > 1 OR kept_id IS NULL").limit(1).count())
-    if not repeated:
-        return docs.join(kept, F.col(id_col) == F.col("kept_id"), "left_semi")
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([id_col])
+    rows = frozen(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.monotonically_increasing_id().alias("row")))
+    known = F.col("d").getField(id_col)
+    text = F.col("d").getField(text_col)
+    order = F.struct(known.isNull().alias("none"), known.alias("id"), F.xxhash64(text).alias("h"), F.col("row").alias("row"))
+    prints = frozen(fingerprints(rows.select(order.alias("k"), text.alias("text")), "k", "text"))
+    kept = _rooted(prints).groupBy("root").agg(F.min("least").alias("k")).select("k.row")
+    return rows.join(kept, "row", "left_semi").select("d.*")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

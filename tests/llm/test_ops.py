@@ -309,6 +309,17 @@ def test_keep_one(spark):
     assert len(got) == 3 and {(r.doc_id, r.source) for r in got} == {(1, "z"), (3, "x"), (None, "n")}
 
 
+def test_keep_one_keeps_every_text(spark):
+    # Null ids, and ids that name several texts, in the same and in different components.
+    one, two, three, four = "a b c d e f g h", "q w e r t y", "z x v n m l", "k j h g f"
+    rows = [(None, one, "1"), (None, two, "2"), (None, two, "2"), (7, three, "3"), (7, four, "4"), (7, four, "4"), (8, four, "4"), (7, None, "0"), (2, three, "3"), (None, three, "3")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted([(None, one, "1"), (None, two, "2"), (2, three, "3"), (7, four, "4"), (7, None, "0")], key=str)
+    for n in (1, 4):
+        got = simhash.keep_one(frame.repartition(n))
+        assert got.columns == frame.columns and sorted(map(tuple, got.collect()), key=str) == want
+
+
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(1000, i) for i in range(1001, 1100)] + [(i, i + 1) for i in range(2000, 2060)] + [(7, 7)]
