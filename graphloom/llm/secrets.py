@@ -27,7 +27,9 @@ from .wordarrays import slices
 
 FEATURES = ("length", "entropy", "digits", "upper", "signs", "changes", "vowels", "covered", "hex", "distinct", "named", "public", "quoted", "assigned", "test_path", "prefix", "parts", "repeat")
 _RUN = re.compile(rb"[A-Za-z0-9+/_.~-]{16,}={0,2}")
-_ASSIGNED = re.compile(rb"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"']{6,200})")
+_NAME = rb"(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?"
+# A value ends at white space or a quote; after 200 characters also where the next assignment begins.
+_ASSIGNED = re.compile(rb"(?i)" + _NAME + rb"([^\s\"']{6,200}(?:(?!" + _NAME + rb"[^\s\"']{6})[^\s\"'])*)")
 _NAMED = re.compile(rb"(?i)secret|token|passw|pwd|api|key|credential|auth|private|bearer")
 _PUBLIC = re.compile(rb"(?i)commit|sha|md5|hash|digest|integrity|uuid|guid|checksum|version|revision|etag|public|example|http|www|path|file|id\b")
 _TEST_PATH = re.compile(r"(?i)test|example|sample|mock|fixture|doc")

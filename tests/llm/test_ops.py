@@ -563,6 +563,19 @@ def test_secrets(spark):
     assert {(r.start, r.secret) for r in got} == {(11, True), (64, False)}
 
 
+def test_long_assigned_secrets(spark):
+    rnd = random.Random(8)
+    make = lambda n, more="": "".join(rnd.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789" + more) for _ in range(n))
+    values = [make(n, more) for more in ("", "+/_-.%&!") for n in (199, 200, 201, 210, 216, 600, 5000)]
+    rows = [(i, f'é token = "{v}" and words') for i, v in enumerate(values)]
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), path_col=None).collect()}
+    assert len(got) == len(rows)
+    for i, v in enumerate(values):
+        assert (got[i].start, got[i].end, got[i].length) == (11, 11 + len(v), len(v))
+    both = f"token={values[5]}&password={values[0]}".encode()
+    assert [both[s:e].decode() for s, e in secrets.candidates(both)] == [values[5] + "&", values[0]]
+
+
 # ------------------------------------------------------------------ 10 packing
 
 
