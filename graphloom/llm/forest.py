@@ -2,19 +2,24 @@
 
 Trees are fitted on a bounded sample (FIT_ROWS vectors) and index every vector.  A node splits at
 the median projection on a random direction; vectors within a margin of the split go to both
-sides (spill), so close vectors stay together in most trees.  Where the sample is used up before leaves are
+sides (spill), so close vectors often stay together.  Where the sample is used up before leaves are
 small, further splits take directions by level and medians of the leaf's sample, so leaves stay small at any number of
-vectors.  A node that spilling doesn't make smaller (a dense cloud) is a leaf.  Vectors are
-compared within leaves, in double precision; a leaf of more than BLOCK vectors is compared block
-by block, all blocks with all, so that no leaf needs more memory than two blocks.  Links found in
-any tree are united: every vector carries the names of its earlier leaves, and a pair is reported only in
-the first leaf where it meets.
+vectors.  A node that spilling doesn't make smaller (a dense cloud) is a leaf.  The number of trees is
+measured, not guessed: trees are added until of pairs that are just similar enough (each made of a vector of the
+sample and one at that angle in a random direction) a share of TARGET meets in some leaf.
+
+Vectors are compared within leaves, in double precision; a leaf of more than BLOCK vectors is compared block
+by block, all blocks with all, so that no leaf needs more memory than two blocks.  Every vector carries the names
+of its earlier leaves, and a pair counts only in the first leaf where it meets.  What leaves a comparison
+is a row a vector: how many new links it has there and the smallest vector it is connected to there.  So the output
+grows with the vectors that were compared, not with their pairs, and no link is lost.
 
 Equal vectors are one vector with a multiplicity, so copies are neither shuffled nor paired.
 
-Defined cases: vectors that are null, empty or zero or hold null or non-finite components link with nothing, nor
-do those whose dimension isn't the most frequent one; every input row returns one row.  A null id counts
-as a linked vector but never as the smallest id, and isn't kept.
+Defined cases: vectors that are null, empty or zero or hold null or non-finite components link with nothing;
+vectors of different dimensions don't link with each other, each dimension has its own forest; every input row returns one
+row.  Ids may be of any type that has an order; rows that repeat an id are separate vectors, each with its own links; a null
+id counts as a linked vector but never as the smallest id, and isn't kept.
 """
 
 from __future__ import annotations
@@ -31,22 +36,33 @@ from .frames import components, frozen, partitions, table
 from .wordarrays import mix
 
 FIT_ROWS = 20_000
-TREES = 8
-LEAF = 256
-BLOCK = 1024
+#: The share of pairs just similar enough that has to meet, and the most trees that are made for it.
+TARGET = 0.97
+MOST_TREES = 64
+LEAF = 512
+BLOCK = 2048
 LEAST_FIT = 32
 #: Of the standard deviation of the projected difference of two vectors just similar enough.
-MARGIN = 0.5
+MARGIN = 0.3
+#: So many leaves larger than a block are told to all tasks; more of them are joined.
+MOST_LARGE = 10_000
 
 
 class Forest:
     """Fitted trees.  Node k of a tree splits on direction[k] at split[k] into child[k] and child[k] + 1; leaves have child -1."""
 
-    def __init__(self, sample: np.ndarray, total: int, similarity: float, trees: int = TREES, leaf: int = LEAF, seed: int = 7):
+    def __init__(self, sample: np.ndarray, total: int, similarity: float, target: float = TARGET, leaf: int = LEAF, seed: int = 7):
         self.margin = MARGIN * math.sqrt(max(0.0, 2 - 2 * similarity) / max(1, sample.shape[1]))
         self.dim = sample.shape[1]
         depth = max(0, math.ceil(math.log2(max(1, total) / leaf)))
-        self.trees = [self._fit(sample, depth, np.random.default_rng([seed, t])) for t in range(trees)]
+        one, other = just_similar(sample[:2000], similarity, np.random.default_rng([seed, MOST_TREES]))
+        met = np.zeros(len(one), bool)
+        self.trees = []
+        while not self.trees or (met.mean() < target and len(self.trees) < MOST_TREES):
+            self.trees.append(self._fit(sample, depth, np.random.default_rng([seed, len(self.trees)])))
+            met |= self._meet(one, other, len(self.trees) - 1)
+        #: The measured share of such pairs that meet.
+        self.recall = float(met.mean())
 
     def _fit(self, sample, depth, rng):
         direction, split, child, more = [], [], [], []
@@ -78,6 +94,15 @@ class Forest:
             splits[i, : len(m)] = m
         return np.array(direction), np.array(split), np.array(child), levels, splits, extra[::-1] if depth else extra
 
+    def _meet(self, one: np.ndarray, other: np.ndarray, tree: int) -> np.ndarray:
+        """Whether one[i] and other[i] share a leaf of the tree."""
+        (i, a), (j, b) = self.leaves(one, tree), self.leaves(other, tree)
+        pairs = np.unique(np.stack([i, a], 1), axis=0)
+        both, n = np.unique(np.concatenate([pairs, np.unique(np.stack([j, b], 1), axis=0)]), axis=0, return_counts=True)
+        out = np.zeros(len(one), bool)
+        out[both[n > 1, 0]] = True
+        return out
+
     def leaves(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows of x (repeated as they spill) and their leaves' codes."""
         direction, split, child, levels, splits, extra = self.trees[tree]
@@ -105,6 +130,14 @@ class Forest:
         return row, code
 
 
+def just_similar(x: np.ndarray, similarity: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """x and, for each row of it, a unit vector whose cosine with it is similarity, in a random direction."""
+    off = rng.standard_normal(x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.maximum(np.sqrt((off * off).sum(1, keepdims=True)), 1e-12)
+    return x, similarity * x + math.sqrt(max(0.0, 1 - similarity * similarity)) * off
+
+
 def unit(batch: pa.RecordBatch, at: int) -> np.ndarray:
     column = batch.column(at)
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -112,21 +145,35 @@ def unit(batch: pa.RecordBatch, at: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True)) if len(x) else x
 
 
-def _assign(forest: Forest, vectors: bool):
-    """A row per vector and leaf; with vectors also the vector and the names of those of its leaves that come earlier."""
+def _leaves(forest: Forest, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x with tree and leaf, for all trees."""
+    found = [forest.leaves(x, t) for t in range(len(forest.trees))]
+    tree = np.repeat(np.arange(len(found), dtype=np.int32), [len(r) for r, _ in found])
+    return np.concatenate([r for r, _ in found]), tree, np.concatenate([c for _, c in found])
+
+
+def _sizes(forest: Forest):
+    """tree, leaf, n: how many of a batch's vectors are in a leaf."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit(batch, 1)
-            found = [forest.leaves(x, t) for t in range(len(forest.trees))]
-            row = np.concatenate([r for r, _ in found])
-            code = np.concatenate([c for _, c in found])
-            tree = np.repeat(np.arange(len(found), dtype=np.int32), [len(r) for r, _ in found])
-            if not vectors:
-                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(code)], ["tree", "leaf"])
+            _, tree, code = _leaves(forest, unit(batch, 0))
+            pairs, n = np.unique(np.stack([tree, code], 1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1]), pa.array(n)], ["tree", "leaf", "n"])
+
+    return run
+
+
+def _assign(forest: Forest):
+    """A row per vector and leaf: with the vector, its copies and the names of those of its leaves that come earlier."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
+            row, tree, code = _leaves(forest, unit(batch, 2))
             # A leaf's name in the order in which leaves of all trees come.
             name = mix(code.astype(np.uint64) ^ mix(tree.astype(np.uint64), 3)).view(np.int64)
             order = np.lexsort((name, row))
@@ -139,7 +186,7 @@ def _assign(forest: Forest, vectors: bool):
                 at = np.arange(int(ends[-1])) + np.repeat(begin[s:e] - (ends - earlier), earlier)
                 codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(name[at]))
                 take = pa.array(row[s:e])
-                yield pa.RecordBatch.from_arrays([pa.array(tree[s:e]), pa.array(code[s:e]), batch.column(0).take(take), batch.column(1).take(take), codes], ["tree", "leaf", "rep", "v", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree[s:e]), pa.array(code[s:e]), *(batch.column(i).take(take) for i in range(3)), codes], ["tree", "leaf", "rep", "copies", "v", "codes"])
 
     return run
 
@@ -159,31 +206,51 @@ def _met_before(codes: pa.ListArray, chosen: np.ndarray) -> np.ndarray:
     return out
 
 
+def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that links a[i], b[i] connect it with."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _compare(similarity: float):
-    """Rows sorted by tree, leaf, pair of blocks, block: similar pairs that meet in no earlier leaf, so each pair comes once."""
+    """Rows sorted by tree, leaf, pair of blocks, block: for each vector with links the number of new ones (links that meet in no
+    earlier leaf, so each counts once; copies count each) and a vector it is connected to."""
 
     def work(group: list[pa.RecordBatch]):
         part = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
         if part.num_rows < 2:
             return
-        x, rep, block = unit(part, 6), part.column(5).to_numpy(), part.column(4).to_numpy()
+        x, rep, copies, block = unit(part, 7), part.column(5).to_numpy(), part.column(6).to_numpy(), part.column(4).to_numpy()
         one = part.column(2)[0].as_py() == part.column(3)[0].as_py()
         cut = len(x) if one else int(np.searchsorted(block, block[0], side="right"))
         right = 0 if one else cut
         if right == len(x):
             return
-        pairs = []
+        n, root = np.zeros(len(x), np.int64), np.arange(len(x))
         for i in range(0, cut, 512):
             a, b = np.nonzero(x[i : min(cut, i + 512)] @ x[right:].T >= similarity)
             a, b = a + i, b + right
-            pairs.append(np.stack([a, b])[:, a < b])
-        a, b = np.concatenate(pairs, 1)
-        if not len(a):
-            return
-        chosen, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        new = ~_met_before(part.column(7), chosen)[at[: len(a)], at[len(a) :]]
-        a, b = rep[a[new]], rep[b[new]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            a, b = a[a < b], b[a < b]
+            if not len(a):
+                continue
+            chosen, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            new = ~_met_before(part.column(8), chosen)[at[: len(a)], at[len(a) :]]
+            a, b = a[new], b[new]
+            n += np.bincount(a, copies[b], len(x)).astype(np.int64) + np.bincount(b, copies[a], len(x)).astype(np.int64)
+            root = connected(len(x), np.concatenate([np.arange(len(x)), a]), np.concatenate([root, b]))
+        linked = np.flatnonzero(n)
+        if len(linked):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(n[linked]), pa.array(rep[root[linked]])], ["rep", "n", "root"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -205,45 +272,48 @@ def _compare(similarity: float):
     return run
 
 
-def link_pairs(distinct: DataFrame, similarity: float = 0.9, fit_rows: int = FIT_ROWS, block: int = BLOCK) -> DataFrame:
-    """a, b: pairs of ids of distinct vectors (rep, v), found similar in some tree; each pair once."""
+def links(distinct: DataFrame, similarity: float = 0.9, fit_rows: int = FIT_ROWS, block: int = BLOCK, most_large: int = MOST_LARGE) -> DataFrame:
+    """For distinct vectors of one dimension (rep, a long; copies; v): rows of rep, n and root.
+
+    The sum of n over a rep's rows is the number of its links, each row of a linked vector counted; links from each rep to
+    each of its roots connect what the similar pairs connect.
+    """
     spark = distinct.sparkSession
     total = distinct.count()
-    fit = distinct.orderBy(F.xxhash64("rep", "v")).limit(fit_rows).select("v").toArrow().column("v").combine_chunks()
+    fit = distinct.orderBy(F.xxhash64("v"), "rep").limit(fit_rows).select("v").toArrow().column("v").combine_chunks()
     if len(fit) < 2:
-        return distinct.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+        return distinct.select("rep", F.lit(0).cast("long").alias("n"), F.col("rep").alias("root")).limit(0)
     sample = fit.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), -1)
     forest = Forest(sample / np.sqrt((sample**2).sum(1, keepdims=True)), total, similarity)
-    sizes = distinct.select("rep", "v").mapInArrow(_assign(forest, False), "tree int, leaf long").groupBy("tree", "leaf").count()
-    large = sizes.where(F.col("count") > block).select("tree", "leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    kind = dict(distinct.dtypes)
-    rows = distinct.select("rep", "v").mapInArrow(_assign(forest, True), f"tree int, leaf long, rep {kind['rep']}, v {kind['v']}, codes array<long>")
-    rows = rows.join(large, ["tree", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sizes = distinct.select("v").mapInArrow(_sizes(forest), "tree int, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n"))
+    large = frozen(sizes.where(F.col("n") > block).select("tree", "leaf", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    rows = distinct.select("rep", "copies", "v").mapInArrow(_assign(forest), f"tree int, leaf long, rep long, copies long, v {dict(distinct.dtypes)['v']}, codes array<long>")
+    rows = rows.join(F.broadcast(large) if large.count() <= most_large else large, ["tree", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("tree", "leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "v", "codes")
+    rows = rows.select("tree", "leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "copies", "v", "codes")
     rows = rows.repartition(partitions(spark), "tree", "leaf", "p", "q").sortWithinPartitions("tree", "leaf", "p", "q", "own")
-    return rows.mapInArrow(_compare(similarity), f"a {kind['rep']}, b {kind['rep']}")
+    return rows.mapInArrow(_compare(similarity), "rep long, n long, root long")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", similarity: float = 0.9) -> DataFrame:
     """id, n_links, component (smallest id reachable) of each row of vectors."""
-    rows = frozen(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     plain = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    marked = rows.withColumn("ok", F.coalesce(plain, F.lit(False)))
-    most = marked.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    good = marked["ok"] & (F.size("v") == (most["d"] if most else -1))
-    marked = marked.withColumn("ok", good)
-    # Ids of vectors for pairs: the smallest id, or for a vector with null ids only a hash of it.
-    distinct = frozen(marked.where("ok").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.coalesce(F.col("least").cast("long"), -F.abs(F.xxhash64("v")) - 1)))
-    pairs = frozen(link_pairs(distinct, similarity))
-    ends = pairs.union(pairs.select("b", "a")).toDF("rep", "to")
-    copies = distinct.where("copies > 1").select(F.col("rep").alias("to"), "copies")
-    linked = ends.join(copies, "to", "left").groupBy("rep").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"))
-    roots = components(pairs).withColumnRenamed("node", "rep")
-    rooted = distinct.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(least, "root").join(linked, "rep", "left").select("v", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    marked = frozen(rows.withColumn("ok", F.coalesce(plain, F.lit(False))))
+    # A distinct vector's number is fixed when the table is written.
+    distinct = frozen(marked.where("ok").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
+    sizes = distinct.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()  # a row a dimension
+    found = marked.sparkSession.createDataFrame([], "rep long, n long, root long")
+    for d in (r.d for r in sizes if r["count"] > 1):
+        some = distinct if len(sizes) == 1 else distinct.where(F.size("v") == d)
+        found = found.union(links(some.select("rep", "copies", "v"), similarity))
+    found = frozen(found)
+    linked = found.groupBy("rep").agg(F.sum("n").alias("n"))
+    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep").withColumnRenamed("root", "top")
+    rooted = distinct.join(roots, "rep", "left").withColumn("top", F.coalesce("top", "rep"))
+    least = rooted.groupBy("top").agg(F.min("least").alias("component"))
+    named = rooted.join(least, "top").join(linked, "rep", "left").select("v", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = marked.where("ok").join(named, "v").select("id", "n_links", "component")
     rest = marked.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return out.union(rest).withColumnRenamed("id", id_col)

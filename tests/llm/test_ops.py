@@ -356,16 +356,85 @@ def test_forest(spark):
     assert all(got[i] == (0, i) for i in range(5000, 5007))
     root = brute.components(range(len(x)), lambda a, b: close[a, b])
     assert np.mean([got[i][1] == root[i] for i in range(len(x))]) >= 0.99
-    # Small leaves, blocks and a small sample give the same links.
-    copies = {tuple(v) for v in x}
-    distinct = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(sorted(copies))], "rep long, v array<double>")
-    rows = [tuple(r) for r in forest.link_pairs(distinct).collect()]
-    whole = set(rows)
-    assert len(rows) == len(whole)
-    parts = [tuple(r) for r in forest.link_pairs(distinct, block=7).collect()]
-    assert whole == set(parts) and len(parts) == len(whole)
-    few = {tuple(r) for r in forest.link_pairs(distinct, fit_rows=100).collect()}
-    assert few <= whole and len(few) >= 0.9 * len(whole)
+
+
+def _counted(rows):
+    """Links by vector, and the partition that the roots make."""
+    n, edges = {}, []
+    for r in rows:
+        n[r.rep] = n.get(r.rep, 0) + r.n
+        edges.append((r.rep, r.root))
+    nodes = {x for e in edges for x in e}
+    linked = {frozenset(e) for e in edges}
+    return n, brute.components(nodes, lambda a, b: frozenset((a, b)) in linked)
+
+
+def _unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _plain_links(x, copies=None):
+    close = (_unit(x) @ _unit(x).T) >= 0.9
+    np.fill_diagonal(close, False)
+    n = close @ (np.ones(len(x), int) if copies is None else copies)
+    return {i: int(v) for i, v in enumerate(n) if v}, {i: r for i, r in brute.components(range(len(x)), lambda a, b: close[a, b]).items() if close[i].any()}
+
+
+def test_dense_cloud_is_counted_exactly(spark):
+    """A cloud in which nearly all are linked: counts and components as by brute force, whatever the blocks, and a row or two a vector."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=24) + rng.normal(size=(400, 24)) * 0.25, rng.normal(size=(100, 24))])
+    copies = rng.integers(1, 4, len(x))
+    frame = spark.createDataFrame([(i, int(c), list(map(float, v))) for i, (c, v) in enumerate(zip(copies, x, strict=True))], "rep long, copies long, v array<double>").cache()
+    want = _plain_links(x, copies)
+    assert 3000 < sum(want[0].values())
+    for more in ({}, {"block": 64}, {"block": 64, "most_large": 0}, {"block": 7}):
+        rows = forest.links(frame, **more).collect()
+        assert _counted(rows) == want, more
+    rows = forest.links(frame).collect()
+    assert len(rows) <= 3 * len(want[0])
+
+
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_planted_links_are_found(spark, n):
+    """Pairs of cosine 0.9 to 0.93 among random vectors."""
+    rng = np.random.default_rng(n)
+    x = _unit(rng.normal(size=(n, 64)))
+    cosine = rng.uniform(0.9005, 0.93, n // 3)
+    pairs = np.stack([forest.just_similar(x[i : i + 1], c, rng)[1][0] for i, c in enumerate(cosine)])
+    both = np.concatenate([x, pairs])
+    frame = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    got = _near(frame)
+    found = np.mean([got[i][1] == got[n + i][1] for i in range(n // 3)])
+    assert found >= 0.95
+    want, _ = _plain_links(both)
+    assert all(v[0] <= want.get(i, 0) for i, v in got.items())
+
+
+def test_forest_is_measured():
+    rng = np.random.default_rng(1)
+    x = _unit(rng.normal(size=(4000, 32)))
+    one, other = forest.just_similar(x, 0.9, rng)
+    assert np.allclose((one * other).sum(1), 0.9) and np.allclose((other * other).sum(1), 1)
+    for total in (4000, 4_000_000):
+        grown = forest.Forest(x, total, 0.9)
+        assert grown.recall >= forest.TARGET and len(grown.trees) < forest.MOST_TREES
+        met = np.zeros(1000, bool)
+        for t in range(len(grown.trees)):
+            met |= grown._meet(one[3000:], other[3000:], t)
+        assert met.mean() >= 0.93
+
+
+def test_connected():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n = int(rng.integers(1, 60))
+        m = int(rng.integers(0, 60))
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        linked = {frozenset(e) for e in zip(a.tolist(), b.tolist(), strict=True)}
+        want = brute.components(range(n), lambda i, j: frozenset((i, j)) in linked)
+        assert forest.connected(n, a, b).tolist() == [want[i] for i in range(n)]
+    assert forest.connected(300, np.arange(299), np.arange(1, 300)).tolist() == [0] * 300
 
 
 def test_forest_empty(spark):
@@ -375,6 +444,13 @@ def test_forest_empty(spark):
     assert {tuple(r) for r in forest.near_vectors(one).collect()} == {(4, 2, 2), (2, 2, 2), (None, 2, 2)}
 
 
+def test_forest_ids_and_dimensions(spark):
+    """Ids that name several vectors, ids that are texts, and vectors of several dimensions."""
+    rows = [("1", [1.0, 0.0]), ("1", [0.0, 1.0]), ("b", [1.0, 0.1]), ("c", [0.1, 1.0]), ("d", [0.12, 1.0]), ("e", [1.0, 0.0, 0.0]), ("f", [1.0, 0.1, 0.0]), ("g", [1.0])]
+    got = sorted(map(tuple, forest.near_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<double>")).collect()))
+    assert got == [("1", 1, "1"), ("1", 2, "1"), ("b", 1, "1"), ("c", 2, "1"), ("d", 2, "1"), ("e", 1, "e"), ("f", 1, "e"), ("g", 0, "g")]
+
+
 # ------------------------------------------------------------------ 6 byte-level BPE
 
 
