@@ -250,6 +250,37 @@ def test_passages_of_a_large_partition(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(0, 41, 41), (0, 41, 41), (n - 3, 41, 40), (n - 1, 41, 41)]
 
 
+def test_located_windows_are_compared_as_texts(monkeypatch):
+    """With hashes that hardly tell windows apart, words go only where they are a passage's."""
+    whole = passages._windows
+
+    def weak(w, window):
+        h, first, second, inside = whole(w, window)
+        return h, first % np.uint64(2), second % 2, inside
+
+    monkeypatch.setattr(passages, "_windows", weak)
+    rnd = random.Random(7)
+    say = lambda n: " ".join(rnd.choice("abc") for _ in range(n))
+    for _ in range(20):
+        found = [say(rnd.randint(6, 30)) for _ in range(rnd.randint(0, 4))]
+        texts = [say(rnd.randint(0, 60)) for _ in range(5)] + ["\n ".join(x.split()) + " c" for x in found]
+        windows = {tuple(w[i : i + 6]) for x in found for w in [x.split()] for i in range(len(w) - 5)}
+        w, gone = passages.Automaton([x.encode() for x in found], 6, 3).remove([t.encode() for t in texts])
+        for d, t in enumerate(texts):
+            ws = t.split()
+            want = {j for i in range(len(ws) - 5) if tuple(ws[i : i + 6]) in windows for j in range(i, i + 6)}
+            assert set(np.flatnonzero(gone[w.first[d] : w.first[d + 1]]).tolist()) == want
+
+
+@pytest.mark.parametrize("shard", [3, 9])
+def test_passages_over_many_shards(docs, shard):
+    """Shards of a few bytes: texts far longer than a shard, and many rows without text in one."""
+    got = _by_id(passages.digest(docs, bits=12, shard_bits=shard), "n_words", "n_removed", "kept_sha256")
+    assert [got[i] for i in range(len(TEXTS))] == brute.passages(TEXTS)
+    placed = passages._placed(docs.select("text")).collect()
+    assert sorted(r.base for r in placed) == np.cumsum([0] + [len((r.text or "").encode()) + 1 for r in sorted(placed, key=lambda r: r.base)])[:-1].tolist()
+
+
 def test_remove_repeats_keeps_the_rest(docs):
     out = {r.doc_id: r for r in passages.remove_repeats(docs).collect()}
     for i, (n, gone, sha) in enumerate(brute.passages(TEXTS)):
