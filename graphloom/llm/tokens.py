@@ -2,7 +2,8 @@
 
 Texts are cut at white space, where no token and no match of the split pattern reaches across;
 the library encodes every distinct chunk of a batch once, and array operations put the ids of the texts
-together.  Texts whose white space isn't of the simple kind go to the library whole.
+together.  Chunks are kept for later batches as long as they are short and their number and characters stay within
+MOST_CHUNKS and MOST_CHARACTERS.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from itertools import chain, repeat
 import numpy as np
 from tokenizers import AddedToken, Regex, Tokenizer, models, pre_tokenizers
 
-MOST_CHUNKS = 700_000  # a bound on memory only: beyond it the cache keeps what was used thrice or more
+# Bounds on memory only: beyond them the cache keeps short chunks that were used thrice or more.
+MOST_CHUNKS = 700_000
+MOST_CHARACTERS = 24 << 20
+LONG = 64
 
 
 @functools.cache
@@ -64,6 +68,11 @@ def from_file(path: str) -> Tokenizer:
 
 
 _ODD_WORD_GAP = re.compile(r"[^\S\n\t\r\x0b\x0c ]")
+_WORD_GAP = re.compile(r"[\n\t\r\x0b\x0c ]+")
+#: Between a sign and white space: no match of the byte vocabulary's pattern holds both.  What some take for white space and others
+#: for a sign counts as neither here.
+_SPACE_BEGINS = re.compile(r"(?<=\S)(?=[\n\t\r\x0b\x0c ])")
+_ASCII_SPACE = frozenset(" \t\n\r\x0b\x0c")
 #: One match of the word vocabulary's pattern: letters, or signs without an apostrophe.
 _ONE_WORD = re.compile(r"[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
 #: Signs after a plain letter begin a match of that pattern; cutting there makes fewer distinct chunks.
@@ -100,14 +109,15 @@ class Encoder:
         self.begin = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
         self.hits = np.zeros(1 << 12, np.int64)
-        self.used = self.n = 0
+        self.used = self.n = self.characters = 0
 
     def _sweep(self):
-        """Keep the chunks that were used often since the last sweep, at most half of the bound."""
-        least = 3
-        while int((self.hits[: self.n] >= least).sum()) > MOST_CHUNKS // 2:
+        """Keep the short chunks that were used often since the last sweep, at most half of the bounds."""
+        sizes = np.fromiter(map(len, self.at), np.int64, self.n)
+        hits, least = np.where(sizes <= LONG, self.hits[: self.n], 0), 3
+        while int((hits >= least).sum()) > MOST_CHUNKS // 2 or int(sizes[hits >= least].sum()) > MOST_CHARACTERS // 2:
             least *= 2
-        old, keep = self.at, self.hits[: self.n] >= least
+        old, keep = self.at, hits >= least
         ids, begin, size = self.ids, self.begin, self.size
         self._clear()
         chosen = [(c, i) for c, i in old.items() if keep[i]]
@@ -141,7 +151,7 @@ class Encoder:
             self._place(rest, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
 
     def _joins(self, chunk: str) -> bool:
-        return chunk[:1] == " " and not chunk[-1:].isspace() if self.keeps_space else bool(_ONE_WORD.fullmatch(chunk))
+        return chunk[:1] in _ASCII_SPACE and not chunk[-1:].isspace() if self.keeps_space else bool(_ONE_WORD.fullmatch(chunk))
 
     def _place(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         need, found = len(ids), sizes
@@ -157,22 +167,23 @@ class Encoder:
         self.at.update(zip(chunks, range(self.n, self.n + len(found)), strict=True))
         self.used += need
         self.n += len(found)
+        self.characters += sum(map(len, chunks))
 
     def _chunks(self, text: str) -> list[str]:
         if not self.keeps_space:
             if any(c in text for c in "\x1c\x1d\x1e\x1f") or not (text.isascii() or not _ODD_WORD_GAP.search(text)):
-                return [text]
+                return [c for c in _WORD_GAP.split(text) if c]
             # bytes.lower() lowers A-Z only, which the vocabulary's normalizer does too.
             return _SIGN.sub(r" \g<0>", text.encode().lower().decode()).split()
         if " ".join(text.split()) != text.replace("\n", " "):
-            # Only single blanks and line ends between words are of the simple kind; other texts stay whole.
-            return [text]
+            return _SPACE_BEGINS.split(text)
+        # Only single blanks and line ends between words.
         first, *rest = text.split(" ")
         return [first, *[" " + w for w in rest]]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
-        if len(self.at) > MOST_CHUNKS:
+        if self.n > MOST_CHUNKS or self.characters > MOST_CHARACTERS:
             self._sweep()
         chunked = [self._chunks(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, chunked), np.int64, len(chunked))

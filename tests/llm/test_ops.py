@@ -363,6 +363,8 @@ def test_components(spark):
             a, b = tuple(p)
             root[a] = root[b] = min(root[a], root[b])
     assert got == root
+    hubs = components(spark.createDataFrame(edges, "a long, b long"), hub=5)
+    assert {r.node: r.root for r in hubs.collect()} == root
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -497,10 +499,16 @@ def test_bpe(docs):
         mine = ids[at[i] : at[i + 1]]
         assert mine.tolist() == t.encode_ordinary(text), text[:50]
         assert bpe.decode_text(mine, RANKS, tokenizers.PATTERN) == text
-    got = _by_id(bpe.digest_documents(docs, RANKS, tokenizers.PATTERN), "n_tokens", "ids_sha256", "decoded_sha256")
+    got = _by_id(bpe.digest_documents(docs, RANKS, tokenizers.PATTERN), "n_tokens", "ids_sha256", "decoded_sha256", "n_split", "starts_crc32")
+    back = bpe._table(RANKS, tokenizers.PATTERN)
     for i, text in enumerate(TEXTS):
-        own = t.encode_ordinary(text or "")
-        assert got[i] == (len(own), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+        own, raw, at, starts, split = t.encode_ordinary(text or ""), (text or "").encode(), 0, [], 0
+        for token in own:
+            starts.append(sum((b & 0xC0) != 0x80 for b in raw[: at + 1]) - 1 if len(raw) < 5000 else -1)
+            split += raw[at] & 0xC0 == 0x80
+            at += int(back.size[token])
+        assert got[i][:4] == (len(own), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest(), split)
+        assert len(raw) >= 5000 or got[i][4] == zlib.crc32(np.array(starts, "<u4").tobytes())
 
 
 def test_bpe_offsets(spark):
@@ -518,12 +526,52 @@ def test_bpe_offsets(spark):
     assert bpe.decode_text(np.array(bpe_ids := rows[2].ids), RANKS, tokenizers.PATTERN) == text and len(bpe_ids) > 4
 
 
-def test_encoder_sweeps(monkeypatch):
-    monkeypatch.setattr(tokens, "MOST_CHUNKS", 50)
-    a, b = tokens.Encoder(tokens.from_file(WORDS), False), tokens.from_file(WORDS)
-    for text in TEXTS:
-        ids, _ = a.encode([text or ""])
-        assert ids.tolist() == b.encode(text or "", add_special_tokens=False).ids
+def test_bpe_decodes_documents(spark):
+    texts = ["日本 語😀 é plain", "", None, "a\n\n b", "日本 語😀 é plain"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encoded = bpe.encode_documents(frame, RANKS, tokenizers.PATTERN)
+    assert _by_id(bpe.decode_documents(encoded, RANKS, tokenizers.PATTERN), "text") == {i: (t or "",) for i, t in enumerate(texts)}
+    # A character cut in two: each half decodes to a replacement sign.
+    ids = next(r.ids for r in encoded.collect() if r.doc_id == 0)
+    back = bpe._table(RANKS, tokenizers.PATTERN)
+    sizes = [int(back.size[i]) for i in ids]
+    at = next(k for k in range(1, len(ids)) if "日本 語😀 é plain".encode()[sum(sizes[:k])] & 0xC0 == 0x80)
+    halves = spark.createDataFrame([(0, ids[:at]), (1, ids[at:]), (2, ids), (3, None), (4, [])], "doc_id long, ids array<int>")
+    got = {k: v[0] for k, v in _by_id(bpe.decode_documents(halves, RANKS, tokenizers.PATTERN), "text").items()}
+    assert got[2] == texts[0] and got[3] is None and got[4] == "" and "\ufffd" in got[0] + got[1]
+
+
+@pytest.mark.parametrize("chunks, characters", [(50, 1 << 30), (1 << 30, 600)])
+def test_encoder_sweeps(monkeypatch, chunks, characters):
+    monkeypatch.setattr(tokens, "MOST_CHUNKS", chunks)
+    monkeypatch.setattr(tokens, "MOST_CHARACTERS", characters)
+    for one, b in ((tokens.from_file(WORDS), tokens.from_file(WORDS)), (tokens.byte_level(RANKS, tokenizers.PATTERN),) * 2):
+        a = tokens.Encoder(one, one is not tokens.from_file(WORDS))
+        for text in TEXTS:
+            ids, _ = a.encode([text or ""])
+            assert ids.tolist() == b.encode(text or "", add_special_tokens=False).ids
+
+
+def test_odd_white_space_is_cut_too():
+    """Texts of all kinds of white space give the library's ids, and no key of the cache holds a whole text."""
+    import tiktoken
+
+    t = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=tokens.read_ranks(RANKS), special_tokens={})
+    words = tokens.from_file(WORDS)
+    rnd = random.Random(21)
+    gaps = [" ", " ", " ", "  ", "\n", "\n\n", "\t", " \n ", "\xa0", "\x85", "\u3000", "\x1c", "\x1f ", " \u2028", "\r\n", "\x0b", "\u200b"]
+    parts = ["it's", "we", "12", "é", "日本", "don't", "...", "x-y", "😀", "e\u0301", "'s", "A!", "ΑΣ"]
+    texts = ["".join(rnd.choice(gaps) * rnd.randint(0, 1) + rnd.choice(parts) + rnd.choice(gaps) * rnd.randint(0, 2) for _ in range(rnd.randint(0, 40))) for _ in range(1500)]
+    for encoder, want in ((tokens.Encoder(tokens.byte_level(RANKS, tokenizers.PATTERN), True), t.encode_ordinary), (tokens.Encoder(words, False), lambda x: words.encode(x, add_special_tokens=False).ids)):
+        for i in range(0, len(texts), 100):
+            ids, sizes = encoder.encode(texts[i : i + 100])
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            for k, text in enumerate(texts[i : i + 100]):
+                assert ids[at[k] : at[k + 1]].tolist() == want(text), repr(text)
+        encoder._clear()
+        for text in TEXTS:
+            encoder.encode([(text or "").replace(" ", "\n\n", 3) + "  end \xa0 of it\x85"])
+        assert max(map(len, encoder.at)) < 40
 
 
 # ------------------------------------------------------------------ 7 licenses
