@@ -1,13 +1,13 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Fixed rules reject very short texts and texts made of repeated passages.  Further rules compare a
-ratio with a cutoff that labelled documents select: for every stratum (language group and length
-group, at most 15) and rule, cutoffs are tested from the laxest to the strictest, each with the
-exact binomial upper bound on the share of good documents (label 1) that it would reject; testing
-stops at the first cutoff that isn't certified (fixed sequence), and the strata and rules share
+Fixed rules reject very short texts and texts made of repeated passages.  Further rules compare
+ratios with cutoffs that labelled documents select.  A level is a cutoff for each rule; levels go from the laxest to the
+strictest.  For every stratum (language group and length group, at most 15) levels are tested in this order, each with the
+exact binomial upper bound on the share of good documents (label 1) that the rules together would reject at it; testing
+stops at the first level that isn't certified (fixed sequence, which needs no further correction), and the strata share
 the error probability equally (Bonferroni).  So with probability 1 - DELTA at once for all strata,
-the rules together reject at most ALPHA of a stratum's good documents.  A stratum with too few
-labelled documents certifies nothing and gets no cutoff.
+the rules reject at most ALPHA of a stratum's good documents.  A stratum with too few
+labelled documents (under 140 good ones at these parameters) certifies nothing and gets no cutoffs.
 
 Defined cases: a null text has no words and fails the fixed rules; repeated documents are judged
 each on its own; a label is used if its document exists, and a document with several labels counts as
@@ -16,6 +16,9 @@ good only if all of them are 1; null labels are left out; other columns are igno
 
 from __future__ import annotations
 
+from functools import reduce
+from math import log, pi
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +29,16 @@ DELTA = 0.05
 LANGUAGES = ("de", "en", "es", "fr")
 LENGTHS = (100, 1000)
 WINDOW = 8
-#: Cutoffs from lax to strict; a document fails a rule if its ratio is above the cutoff.
+#: Cutoffs by level, from lax to strict; a document fails a rule if its ratio is above the cutoff.
 CUTOFFS = {
-    "symbol_ratio": (0.5, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.04, 0.03),
+    "symbol_ratio": (0.5, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05),
     "upper_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
     "line_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
     "type_ratio": (0.98, 0.95, 0.9, 0.85, 0.8, 0.75, 0.7),
 }
+LEVELS = len(CUTOFFS["symbol_ratio"])
+#: Terms of a binomial tail that are summed; what is left after them is bounded from above.
+TERMS = 2048
 _WHITE = " \t\n\x0b\f\r"
 
 
@@ -100,50 +106,54 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p), summed term by term in logarithms scaled by the largest so far."""
-    from math import log
+def _log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function for x >= 1, by Stirling's series at x + 8."""
+    y = x + 8
+    series = (y - 0.5) * F.log(y) - y + 0.5 * log(2 * pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return series - sum((F.log(x + j) for j in range(8)), F.lit(0.0))
+
 
-    odds = log(p) - log(1 - p)
-    first = F.struct((n * log(1 - p)).alias("term"), (n * log(1 - p)).alias("top"), F.lit(1.0).alias("sum"))
+def binomial_tail(k: Column, n: Column, p: float, terms: int = TERMS) -> Column:
+    """P(X <= k) for X ~ Binomial(n, p) and k <= p n, or any k below terms.
+
+    The terms are summed from that of k downwards, as multiples of it.  Below p n they fall, each by a smaller factor than the one
+    before, so a geometric series bounds what is left after terms of them: the result is exact for k <= terms, and never too small.
+    """
+    k, n = k.cast("double"), n.cast("double")
+    first = _log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1) + k * log(p) + (n - k) * log(1 - p)
+    factor = lambda i: F.greatest(k - i, F.lit(0.0)) / (n - k + i + 1) * ((1 - p) / p)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 
     def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] + F.log(n - i + 1) - F.log(i) + odds
-        top = F.greatest(acc["top"], term)
-        return F.struct(term.alias("term"), top.alias("top"), (acc["sum"] * F.exp(acc["top"] - top) + F.exp(term - top)).alias("sum"))
+        term = acc["term"] * factor(i)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    terms = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(terms, first, step, lambda acc: F.exp(acc["top"]) * acc["sum"])
+    last = factor(F.lit(terms))
+    rest = lambda acc: F.when(acc["term"] == 0, F.lit(0.0)).otherwise(acc["term"] * last / (1 - last))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(terms - 1)), start, step, lambda acc: F.exp(first) * (acc["sum"] + rest(acc)))
 
 
 def cutoffs(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff: the strictest certified cutoff of each stratum and rule that has one.
+    """stratum, level, and a cutoff for each rule: the strictest certified level of each stratum that has one, at most 15 rows.
 
-    A cutoff is certified if the exact (Clopper-Pearson) upper confidence bound on its false
-    rejections is at most alpha / number of rules: P(Binomial(n, that) <= rejected) <= level.
-    The result has at most 15 strata x 4 rules rows.
+    A level is certified if the exact (Clopper-Pearson) upper confidence bound on its false
+    rejections is at most alpha: P(Binomial(n, alpha) <= rejected) <= delta / strata.
     """
-    rules = list(CUTOFFS)
-    level = delta / (len(rules) * (len(LANGUAGES) + 1) * (len(LENGTHS) + 1))
-    share = alpha / len(rules)
+    share = delta / ((len(LANGUAGES) + 1) * (len(LENGTHS) + 1))
     good = labels.where(F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality")).where("quality = 1").select(id_col)
     held = stats.where(~F.col("base_failed")).join(good, id_col, "left_semi")
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r in rules for i, c in enumerate(CUTOFFS[r])))
-    tests = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r in rules for i, c in enumerate(CUTOFFS[r])))
-    tested = counts.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.*")
-    # From a share of rejections above the target on, the tail can't be small; the sum is short.
-    certified = F.when(F.col("k") > share * F.col("n"), F.lit(False)).otherwise(binomial_tail(F.col("k"), F.col("n"), share) <= level)
-    tested = tested.select("stratum", "rule", "i", "cutoff", certified.alias("ok"))
-    stop = tested.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("ok"), F.col("i"))).alias("stop"), F.collect_list(F.struct("i", "cutoff")).alias("all"))
-    allowed = F.filter("all", lambda x: F.col("stop").isNull() | (x["i"] < F.col("stop")))
-    return stop.select("stratum", "rule", F.array_min(F.transform(allowed, lambda x: x["cutoff"])).alias("cutoff")).where("cutoff IS NOT NULL")
+    fails = lambda i: reduce(lambda a, b: a | b, (F.col(r) > c[i] for r, c in CUTOFFS.items()))
+    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(fails(i)).alias(f"k{i}") for i in range(LEVELS)))
+    # The first level that isn't certified; from a share of rejections above alpha on, none is.
+    refused = (F.when((F.col(f"k{i}") > alpha * F.col("n")) | (binomial_tail(F.col(f"k{i}"), F.col("n"), alpha) > share), F.lit(i)) for i in range(LEVELS))
+    chosen = counts.select("stratum", (F.coalesce(*refused, F.lit(LEVELS)) - 1).alias("level")).where("level >= 0")
+    return chosen.select("stratum", "level", *(F.element_at(F.array(*map(F.lit, c)), F.col("level") + 1).alias(r) for r, c in CUTOFFS.items()))
 
 
 def judge(stats: DataFrame, chosen: DataFrame) -> DataFrame:
     """stats with kept: false if a fixed rule or a certified cutoff of the document's stratum fails it."""
-    wide = chosen.groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.min("cutoff"))
-    wide = wide.select("stratum", *(F.col(r).alias(f"{r}_most") for r in CUTOFFS))
-    judged = stats.join(F.broadcast(wide), "stratum", "left")  # at most 15 rows, one a stratum
+    most = chosen.select("stratum", *(F.col(r).alias(f"{r}_most") for r in CUTOFFS))
+    judged = stats.join(F.broadcast(most), "stratum", "left")  # at most 15 rows, one a stratum
     failed = F.col("base_failed")
     for r in CUTOFFS:
         failed = failed | F.coalesce(F.col(r) > F.col(f"{r}_most"), F.lit(False))
@@ -157,10 +167,10 @@ def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rules = list(CUTOFFS)
-    level = DELTA / (len(rules) * (len(LANGUAGES) + 1) * (len(LENGTHS) + 1))
-    share = ALPHA / len(rules)
-    grid = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r in rules for i, c in enumerate(CUTOFFS[r]))
+    share = DELTA / ((len(LANGUAGES) + 1) * (len(LENGTHS) + 1))
+    grid = ", ".join(f"({i}, {', '.join(f'{c[i]}::DOUBLE' for c in CUTOFFS.values())})" for i in range(LEVELS))
+    most = ", ".join(f"{r}_most" for r in CUTOFFS)
+    above = " OR ".join(f"{r} > {r}_most" for r in CUTOFFS)
     white = r"[\x20\x09-\x0D]"
     return rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{white}+'), lambda x: x <> '') AS w,
@@ -173,15 +183,13 @@ s AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::
     FROM d LEFT JOIN rw USING (doc_id)),
 r AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_ratio, n_upper / greatest(word_chars, 1) AS upper_ratio, n_dup_lines / greatest(n_lines, 1) AS line_ratio, 1 - n_types / greatest(n_words, 1) AS type_ratio,
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s),
-v AS (SELECT doc_id, stratum, base_failed, unnest([{", ".join(f"{{'rule': '{r}', 'v': {r}}}" for r in rules)}], recursive := true) FROM r),
-grid(rule, i, cutoff) AS (VALUES {grid}),
+grid(i, {most}) AS (VALUES {grid}),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-tests AS (SELECT stratum, rule, i, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM v SEMI JOIN good USING (doc_id) JOIN grid USING (rule) WHERE NOT base_failed GROUP BY ALL),
-ok AS (SELECT *, k <= {share} * n AND list_sum(list_transform(range(0, least(k, ({share} * n)::BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({share}) + (n - j) * ln(1 - {share})))) <= {level} AS fine FROM tests),
-stop AS (SELECT stratum, rule, min(i) FILTER (NOT fine) AS stop_i FROM ok GROUP BY ALL),
-chosen AS (SELECT stratum, rule, min(cutoff) AS most FROM ok JOIN stop USING (stratum, rule) WHERE stop_i IS NULL OR i < stop_i GROUP BY ALL),
-failed AS (SELECT DISTINCT doc_id FROM v JOIN chosen USING (stratum, rule) WHERE v > most)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (FROM failed) AS kept, stratum FROM r
+tests AS (SELECT stratum, i, count(*) AS n, count(*) FILTER ({above}) AS k FROM r SEMI JOIN good USING (doc_id), grid WHERE NOT base_failed GROUP BY ALL),
+ok AS (SELECT *, k <= {ALPHA} * n AND list_sum(list_transform(range(0, least(k, ({ALPHA} * n)::BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))) <= {share} AS fine FROM tests),
+level AS (SELECT stratum, coalesce(min(i) FILTER (NOT fine), {LEVELS}) - 1 AS i FROM ok GROUP BY ALL),
+chosen AS (SELECT * FROM level JOIN grid USING (i))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({above}, false) AS kept, r.stratum FROM r LEFT JOIN chosen USING (stratum)
 """
 
 

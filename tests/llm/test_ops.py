@@ -192,36 +192,74 @@ def test_quality_base(docs):
 def test_binomial_tail(spark):
     from math import comb
 
-    cases = [(0, 10, 0.1), (3, 20, 0.1), (20, 20, 0.1), (5, 700, 0.01)]
-    for k, n, p in cases:
-        got = spark.range(1).select(quality_rules.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), p)).first()[0]
-        assert abs(got - sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) < 1e-9
-    assert spark.range(1).select(quality_rules.binomial_tail(F.lit(100).cast("long"), F.lit(200_000).cast("long"), 0.01)).first()[0] < 1e-100
+    def tail(k, n, p, **more):
+        return spark.range(1).select(quality_rules.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), p, **more)).first()[0]
+
+    def plain(k, n, p):
+        return sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+    for k, n, p in [(0, 10, 0.1), (3, 20, 0.1), (20, 20, 0.1), (5, 700, 0.01), (0, 1, 0.04), (0, 139, 0.04), (0, 140, 0.04)]:
+        assert tail(k, n, p) == pytest.approx(plain(k, n, p), rel=1e-9)
+    assert tail(100, 200_000, 0.01) < 1e-100
+    # Few terms: never below the right value, and close to it.
+    for k in (60, 70, 80):
+        assert plain(k, 1000, 0.1) * (1 - 1e-9) <= tail(k, 1000, 0.1, terms=20) <= 1.3 * plain(k, 1000, 0.1)
+    assert 0 < tail(39_000, 1_000_000, 0.04) < 1e-6
 
 
 def test_cutoffs_keep_their_promise(spark):
-    """The strictest cutoff before the first that isn't certified, against a plain version."""
+    """The strictest level before the first that isn't certified, against a plain version."""
     from math import comb
 
     rnd = random.Random(2)
-    rows = [(i, "en:1", round(rnd.random() ** 6, 3), 0.0, 0.0, 0.9 if i % 3 else 0.0, False) for i in range(3000)]
+    rules = list(quality_rules.CUTOFFS)
+    rows = [(i, "en:1" if i < 3000 else "de:0" if i < 3200 else "fr:2", round(rnd.random() ** 60, 3), 0.0, 0.0, 0.9 if i % 97 == 0 else 0.0, False) for i in range(3300)]
     stats = spark.createDataFrame(rows, "doc_id long, stratum string, symbol_ratio double, upper_ratio double, line_ratio double, type_ratio double, base_failed boolean")
-    labels = spark.createDataFrame([(i, 1) for i in range(3000)] + [(9999, 1), (5, None), (7, 0)], "doc_id long, quality int")
-    got = {r.rule: r.cutoff for r in quality_rules.cutoffs(stats, labels).collect()}
-    level, share = quality_rules.DELTA / 60, quality_rules.ALPHA / 4
-    good = [r for r in rows if r[0] != 7]
-    for j, rule in enumerate(quality_rules.CUTOFFS):
-        best = None
-        for c in quality_rules.CUTOFFS[rule]:
-            k, n = sum(r[2 + j] > c for r in good), len(good)
-            tail = sum(comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k + 1)) if k <= share * n else 1
-            if tail > level:
+    labels = spark.createDataFrame([(i, 1) for i in range(3300)] + [(9999, 1), (5, None), (7, 0)], "doc_id long, quality int")
+    got = {r.stratum: r for r in quality_rules.cutoffs(stats, labels).collect()}
+    share, alpha = quality_rules.DELTA / 15, quality_rules.ALPHA
+    for stratum in ("en:1", "de:0", "fr:2"):
+        good, best = [r for r in rows if r[0] != 7 and r[1] == stratum], None
+        for level in range(quality_rules.LEVELS):
+            k, n = sum(any(r[2 + j] > quality_rules.CUTOFFS[rule][level] for j, rule in enumerate(rules)) for r in good), len(good)
+            if k > alpha * n or sum(comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1)) > share:
                 break
-            best = c
-        assert got.get(rule) == best
+            best = level
+        assert (got[stratum].level if stratum in got else None) == best
+        assert best is None or [got[stratum][r] for r in rules] == [quality_rules.CUTOFFS[r][best] for r in rules]
+    assert 0 < got["en:1"].level < quality_rules.LEVELS - 1 and "fr:2" not in got
     assert quality_rules.cutoffs(stats.limit(0), labels).count() == 0
     judged = quality_rules.judge(stats, quality_rules.cutoffs(stats, labels)).collect()
-    assert len(judged) == 3000 and sum(not r.kept for r in judged) <= quality_rules.ALPHA * 3000
+    assert len(judged) == 3300 and 0 < sum(not r.kept for r in judged) <= quality_rules.ALPHA * 3300
+
+
+def test_certified_cutoffs_equal_the_sql(spark, tmp_path):
+    """Enough labelled documents to certify cutoffs in some strata and not in others: the query and its SQL reject the same."""
+    import duckdb
+
+    rnd = random.Random(14)
+    vocab = [f"word{i}" for i in range(400)]
+    rows, labels = [], []
+    for i in range(1500):
+        words = [rnd.choice(vocab) for _ in range(rnd.choice((30, 150)))]
+        good = i % 6 > 0
+        if not good or rnd.random() < 0.01:
+            words = [w + rnd.choice(("", "", "#$%&")) for w in words]
+        rows.append((i, " ".join(words), rnd.choice(("en", "en", "en", "de", None)), "s", 0))
+        labels.append((i, int(good), 0))
+    d = str(tmp_path)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    got = quality_rules.op2_quality_rules(spark, d)
+    want = con.sql(quality_rules.OP2_SQL)
+    columns = sorted(got.columns)
+    found = sorted(map(tuple, got.select(*columns).collect()))
+    assert found == sorted(want.select(*(duckdb.ColumnExpression(c) for c in columns)).fetchall())
+    rejected = [r for r in got.collect() if not r.kept and not r.base_failed]
+    assert len(rejected) > 100 and len({r.stratum for r in rejected}) > 1
 
 
 # ------------------------------------------------------------------ 3 passages
