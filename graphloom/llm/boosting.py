@@ -6,7 +6,7 @@ features cut into bins, and flattened into arrays; scoring walks all rows of a b
 tree at once with numpy.
 
 Defined cases: a null or empty text has statistics zero and is scored like any other; repeated
-documents are scored each on its own; a document with several labels counts as good if all are 1; null
+documents are scored each on its own, and of those that repeat an id one is learned from; a document with several labels counts as good if all are 1; null
 labels and labels without a document are left out; without any usable label every score is 0.5.
 """
 
@@ -172,8 +172,9 @@ def sample(labels: DataFrame, id_col: str = "doc_id", fit_rows: int = FIT_ROWS)
 
 
 def train(stats: DataFrame, known: DataFrame, id_col: str = "doc_id") -> Boosted:
-    """Fitted on known, at most fit_rows labels, which is also the bound of what is broadcast and collected."""
-    rows = stats.join(F.broadcast(known), id_col).orderBy(id_col).select("f", "quality").toArrow().combine_chunks()
+    """Fitted on known, at most fit_rows labels, which is also the bound of what is broadcast and collected: of documents that repeat an id one counts."""
+    named = stats.join(F.broadcast(known), id_col).groupBy(id_col).agg(F.max("f").alias("f"), F.max("quality").alias("quality"))
+    rows = named.orderBy(id_col).select("f", "quality").toArrow().combine_chunks()
     x = rows["f"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, (rows["quality"].to_numpy() == 1).astype(float))
 

@@ -1,4 +1,4 @@
-"""Sets of disjoint spans, and positions in code points."""
+"""Sets of spans without overlaps or without containment, and positions in code points."""
 
 from __future__ import annotations
 
@@ -26,6 +26,25 @@ class Disjoint:
         return True
 
 
+class Uncontained:
+    """Spans none of which contains another, so that in the order of their starts their ends are in order too."""
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Add the span if no span contains it and it contains none."""
+        after = bisect_left(self.spans, (start, end))
+        around = after and self.spans[after - 1][1] >= end
+        later = bisect_left(self.spans, (start, -1))
+        inside = later < len(self.spans) and self.spans[later][1] <= end
+        same = after < len(self.spans) and self.spans[after][0] == start
+        if around or inside or same:
+            return False
+        self.spans.insert(after, (start, end))
+        return True
+
+
 def code_points(text: bytes) -> np.ndarray:
     """For each byte position from 0 to the length: the number of characters that begin before it."""
     data = np.frombuffer(text, np.uint8)

@@ -650,8 +650,10 @@ def _sample(parsed, rnd):
         if name == "LITERAL":
             out += chr(arg)
         elif name == "IN":
-            kind, value = rnd.choice(arg)
-            out += {"LITERAL": lambda: chr(value), "RANGE": lambda: chr(rnd.randint(*value)), "CATEGORY": lambda: rnd.choice(" \n") if "SPACE" in str(value) else "w"}[str(kind)]()
+            kind, value = rnd.choice(arg) if str(arg[0][0]) != "NEGATE" else ("CATEGORY", "NOT_SPACE")
+            out += {"LITERAL": lambda: chr(value), "RANGE": lambda: chr(rnd.randint(*value)), "CATEGORY": lambda: rnd.choice(" \n") if str(value).endswith("CATEGORY_SPACE") else "w"}[str(kind)]()
+        elif name in ("CATEGORY", "NOT_LITERAL"):
+            out += "w"
         elif name == "BRANCH":
             out += _sample(rnd.choice(arg[1]), rnd)
         elif name == "SUBPATTERN":
@@ -678,6 +680,57 @@ def test_license_keywords_stand_in_every_match():
             assert any(s < m.end() and m.start() < e and p >= r.priority for s, e, _, p in found)
 
 
+def test_uncontained():
+    from graphloom.llm.spans import Uncontained
+
+    rnd = random.Random(6)
+    for _ in range(200):
+        d, plain = Uncontained(), []
+        for _ in range(40):
+            s = rnd.randint(0, 40)
+            e = s + rnd.randint(1, 12)
+            free = not any((a <= s and e <= b) or (s <= a and b <= e) for a, b in plain)
+            assert d.add(s, e) == free
+            plain += [(s, e)] * free
+        assert d.spans == sorted(plain)
+
+
+def test_license_detections_against_all_rules_in_turn():
+    """Keyword gate, priority and containment against a plain version that runs every rule over every text."""
+    rnd = random.Random(31)
+    from re import _parser
+
+    parsed = [(r, _parser.parse(r.expression.pattern.decode())) for r in licenses.rules()]
+    for _ in range(150):
+        parts = [_sample(p, rnd) for _, p in rnd.sample(parsed, rnd.randint(0, 5))] + ["the mit license", "gnu general public license version 2"][: rnd.randint(0, 2)]
+        rnd.shuffle(parts)
+        low = rnd.choice((" ", ". ", "\n# ", "")).join(parts).lower().encode()
+        found = {(m.start(), m.end(), r.label, r.priority) for r in licenses.rules() for m in r.expression.finditer(low)}
+        kept = []
+        for d in sorted(found, key=lambda d: (-d[3], d[0] - d[1], d[0], d[2])):
+            if not any((k[0] <= d[0] and d[1] <= k[1]) or (d[0] <= k[0] and k[1] <= d[1]) for k in kept):
+                kept.append(d)
+        assert licenses.detections(low) == sorted(kept)
+
+
+def test_license_overlaps():
+    # Contained: the stronger stays; overlapping without containment: both stay.
+    assert [d[2] for d in licenses.detections(b"apache license, version 2.0")] == ["apache-2.0"]
+    found = licenses.detections(b"licensed under the mit license")
+    assert [d[2] for d in found] == ["mit", "mit"] and found[1][0] < found[0][1]
+
+
+def test_license_sentences():
+    label = lambda t: {d[2] for d in licenses.detections(t.lower().encode())}
+    assert label('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND') == {"warranty-disclaimer"}
+    assert label("You may not use this file except in\n * compliance with the License.") == {"apache-2.0"}
+    assert label("either version 3 of the License, or (at your option) any later version") == {"gpl"}
+    assert label("Redistributions of source code must retain the above copyright notice") == {"bsd"}
+    assert label("Copyright (c) 2019 someone. All rights reserved.") == {"copyright-notice", "all-rights-reserved"}
+    assert label("If a copy of the MPL was not distributed with this file, ...") == {"mpl-2.0"}
+    assert label("the house stood on a hill and the people came to see it in 2004") == set()
+
+
 def test_license_forms_without_other_words():
     label = lambda t: [d[2] for d in licenses.detections(t.lower().encode())]
     assert label("released under the GNU GPL") == ["gpl"] and label("GPLv3 or GPL 2") == ["gpl-3.0", "gpl-2.0"]
