@@ -1,12 +1,14 @@
 """Secret scans: candidates by form, and a random forest that removes false positives.
 
 A candidate is a run of 16 or more key characters that isn't a plain word, or a value assigned to a
-name like password or token.  The forest looks at its length, the transitions between kinds of characters, how
-much of it dictionary words cover, the path or source it stands in and the words before it.  It is
-trained here on labelled findings, made by rule from a table of forms (LABELLED).
+name like password or token.  The forest looks at its length; its character transitions (how surprising each letter is after
+the one before it, by the letter pairs of dictionary words, and how often each kind of character follows each other kind); how
+much of it dictionary words cover; the path or source it stands in; and the words around it.  It is
+trained here on labelled findings, made by rule from a table of forms (LABELLED).  The dictionary is the words among a public
+vocabulary's tokens, whose file is a parameter, and the words below.
 
 Defined cases: a null or empty text has no findings; a null path is an empty one; repeated rows
-are scanned each on its own; a text of any length is scanned whole.
+are scanned each on its own; a text of any length is scanned whole, and so is an assigned value of any length.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import math
 import re
 import string
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +26,11 @@ from pyspark.sql import functions as F
 
 from .frames import table
 from .spans import Disjoint, code_points
+from .tokens import read_ranks
 from .wordarrays import slices
 
-FEATURES = ("length", "entropy", "digits", "upper", "signs", "changes", "vowels", "covered", "hex", "distinct", "named", "public", "quoted", "assigned", "test_path", "prefix", "parts", "repeat")
+_KINDS = ("sign", "digit", "upper", "lower")
+FEATURES = ("length", "entropy", "digits", "upper", "signs", "vowels", "covered", "surprise", "hex", "distinct", "named", "public", "quoted", "assigned", "after", "test_path", "prefix", "parts", "repeat", *(f"{a}_{b}" for a in _KINDS for b in _KINDS))
 _RUN = re.compile(rb"[A-Za-z0-9+/_.~-]{16,}={0,2}")
 _NAME = rb"(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?"
 # A value ends at white space or a quote; after 200 characters also where the next assignment begins.
@@ -36,7 +41,6 @@ _TEST_PATH = re.compile(r"(?i)test|example|sample|mock|fixture|doc")
 _PREFIX = re.compile(rb"AKIA[0-9A-Z]{12,}|gh[pousr]_|sk_(?:live|test)_|xox[baprs]-|AIza|eyJ|glpat-|SG\.|-----BEGIN")
 #: A small dictionary; what matters is how much of a candidate common words cover.
 _WORDS = sorted("able access account action address admin after all and api app area array auth base before block body buffer build button cache call case check child class clean client close code color column commit config connect content control copy count create current data database date default delete detail device display document domain down drop each edit email empty end entry error event example export fail false field file filter find first float folder for format from function get global group handle hash head help here home host html http image import index info init input insert integer item json key label last length level library license line link list load local location log login long main make manager map mark master match max member menu message method min mode model module name net new next node none not null number object offset old open option order output owner page param parent parse part password path pattern place plain play point port post print private process product project property public query queue random range read record region release remove replace report request reset resource response result return root row run sample save schema script search secret section select send server service session set show simple size sort source start state status stop store stream string style submit sum support switch system table target task template temp test text the this time title token tool top total trace tree true type under update upload url user util value version view web width window with word work write year your".split(), key=len, reverse=True)
-_COVER = re.compile("|".join(w for w in _WORDS if len(w) >= 3).encode())
 _KIND = np.zeros(256, np.int8)
 _KIND[48:58], _KIND[65:91], _KIND[97:123] = 1, 2, 3
 
@@ -54,10 +58,49 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
     return found.spans
 
 
-def describe(text: bytes, span: tuple[int, int], path: str) -> list[float]:
+class Dictionary:
+    """Words of four letters or more in an automaton, and how surprising each letter is after the one before it, by their letter pairs."""
+
+    def __init__(self, words: set[str]):
+        self.find = ahocorasick.Automaton()
+        pairs = np.full((26, 26), 0.5)
+        for w in words:
+            self.find.add_word(w, len(w))
+            letters = np.frombuffer(w.encode(), np.uint8).astype(int) - 97
+            np.add.at(pairs, (letters[:-1], letters[1:]), 1)
+        self.find.make_automaton()
+        self.surprise = -np.log2(pairs / pairs.sum(1, keepdims=True))
+
+    def covered(self, low: bytes) -> float:
+        """The share of characters that lie in a word."""
+        edge = np.zeros(len(low) + 1, np.int64)
+        for end, n in self.find.iter(low.decode("latin-1")):
+            edge[end + 1 - n] += 1
+            edge[end + 1] -= 1
+        return float((np.cumsum(edge)[:-1] > 0).mean())
+
+    def surprising(self, low: bytes) -> float:
+        """The mean surprise of letters after letters; that of a random letter if there are none."""
+        a = np.frombuffer(low, np.uint8).astype(int) - 97
+        letter = (a >= 0) & (a < 26)
+        both = np.flatnonzero(letter[1:] & letter[:-1])
+        return float(self.surprise[a[both], a[both + 1]].mean()) if len(both) else math.log2(26)
+
+
+@functools.cache
+def dictionary(vocabulary: str | None = None) -> Dictionary:
+    """The words below, and of a file of ranks those tokens that are a blank and four to twenty letters, in lower case."""
+    words = {w for w in _WORDS if len(w) >= 4}
+    if vocabulary:
+        words |= {t[1:].decode().lower() for t in read_ranks(vocabulary) if re.fullmatch(rb" [A-Za-z]?[a-z]{3,19}", t)}
+    return Dictionary(words)
+
+
+def describe(text: bytes, span: tuple[int, int], path: str, known: Dictionary) -> list[float]:
     s, e = span
     c = text[s:e]
     before = text[max(0, s - 48) : s]
+    name = b" ".join(before.split()[-3:])
     a = np.frombuffer(c, np.uint8)
     kind = _KIND[a]
     n = len(c)
@@ -70,19 +113,21 @@ def describe(text: bytes, span: tuple[int, int], path: str) -> list[float]:
         float((kind == 1).mean()),
         float((kind == 2).mean()),
         float((kind == 0).mean()),
-        float((kind[1:] != kind[:-1]).mean()) if n > 1 else 0.0,
         sum(low.count(v) for v in (b"a", b"e", b"i", b"o", b"u")) / n,
-        sum(m.end() - m.start() for m in _COVER.finditer(low)) / n,
+        known.covered(low),
+        known.surprising(low),
         sum(b in b"0123456789abcdef" for b in low) / n,
         len(share) / n,
-        float(bool(_NAMED.search(before))),
-        float(bool(_PUBLIC.search(before))),
+        float(bool(_NAMED.search(name))),
+        float(bool(_PUBLIC.search(name))),
         float(before[-1:] in (b'"', b"'")),
         float(bool(re.search(rb"[:=]\s*[\"']?$", before))),
+        float(bool(_PUBLIC.search(text[e : e + 24]))),
         float(bool(_TEST_PATH.search(path))),
         float(bool(_PREFIX.match(c))),
         float(len(re.split(rb"[-_./]", c))),
         float(counts.max() / n),
+        *(np.bincount(kind[:-1] * 4 + kind[1:], minlength=16) / max(1, n - 1)),
     ]
 
 
@@ -133,11 +178,58 @@ LABELLED = """
 0|src|{d3}.{d3}.{d3}.{d3}-{d3}.{d3}
 0|src|Get{w}And{w}From{w}Table
 0|src|data:image/png;base64,iVBORw0KGgo{b120}
+1|deploy.sh|export SECRET_KEY={a50}
+1|settings.py|SECRET_KEY = '{a30}#{d3}!{a15}'
+1|main.tf|access_key = "AKIA{u16}"
+1|main.tf|secret_key = "{b40}"
+1|app.js|const apiKey = "{a39}";
+1|ci.yml|NPM_TOKEN: npm_{a36}
+1|ci.yml|token: glpat-{a20}
+1|Program.cs|Password={a14};Server={w}
+1|src|{w} secret key: {b43}=
+1|src|authorization: basic {b36}==
+1|src|client_secret="{a8}-{a16}~{a8}"
+1|log|x-api-key: {h32}
+1|src|mysql://{w}:{a16}@{w}.{w}.net/{w}
+1|src|passphrase "{a24}"
+1|notes.txt|the api key is {a32} {w}
+1|src|auth_token={h40}&{w}={w}
+0|Cargo.lock|checksum = "{h64}"
+0|go.sum|{w}.org/{w} v1.{d2}.0 h1:{b43}=
+0|yarn.lock|resolved "https://{w}.{w}.com/{w}/-/{w}-{d1}.{d1}.{d1}.tgz#{h40}"
+0|log|request id {h16} took {d3}
+0|log|trace_id={h32} span_id={h16}
+0|log|etag "{h32}"
+0|src|session {w}_{w}_{d8} of {w}
+0|README|export TOKEN=your_{w}_token_goes_here1
+0|README|api_key = "<your-{w}-api-key-1>"
+0|config.yml|password: changeme_{w}_{d2}
+0|config.yml|password: ${{w}_{w}_PASSWORD1}
+0|src|token = request.headers.{w}_token_{d1}
+0|src|secret = os.environ_{w}_{w}_{d2}
+0|test_auth.py|api_key = "test_{w}_key_{d4}"
+0|src|index {h7}..{h7} {d6}
+0|src|blob {h40}
+0|src|{u1}{w}{u1}{w}{u1}{w}Factory{d1}
+0|src|{w}{w}{w}{d4}.{w}.{w}/{w}-{w}
+0|src|isbn {d3}-{d1}-{d4}-{d4}-{d1}
+0|src|timestamp {d4}-{d2}-{d2}T{d2}:{d2}:{d2}.{d6}Z-{w}
+0|src|public key fingerprint SHA256:{b43}
+0|src|color palette {h6}-{h6}-{h6}-{h6}
+0|src|sequence ACGTACGTGGCATTACGGATCA{d2}
+0|src|build-{w}-{d8}-{w}-{h8}.log
+0|src|{w}_{w}_{w}_{w}_{w}_{d2}
 """.strip().splitlines()
 
 
+#: What findings stand among: words and names that say nothing about them.
+SURROUNDINGS = ("", "{w} {w} {w} ", "{w}@{w}.example.com. {w} ", "see http://{w}.org/{w} {w} ", "{w}\n{w}: {d2}\n")
+
+
 @functools.cache
-def labelled(repeats: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def labelled(vocabulary: str | None = None, repeats: int = 30, seed: int = 11, forms: tuple[str, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of findings made from forms (LABELLED if none are given)."""
+    known = dictionary(vocabulary)
     rng = np.random.default_rng(seed)
     pools = {"h": "0123456789abcdef", "b": string.ascii_letters + string.digits + "+/", "a": string.ascii_letters + string.digits, "d": string.digits, "u": string.ascii_uppercase + string.digits}
     parts = "er the an re on in ti th es ou st ing ed en at or nd wh ha he ent tion ble ly".split()
@@ -148,12 +240,13 @@ def labelled(repeats: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]
         return "".join(rng.choice(list(pools[m[1]]), int(m[2])))
 
     x, y = [], []
-    for line in LABELLED:
+    for line in forms if forms is not None else LABELLED:
         label, path, form = line.split("|", 2)
         for _ in range(repeats):
-            text = re.sub(r"\{([hbaduw])(\d*)\}", fill, form).encode()
-            for span in candidates(text):
-                x.append(describe(text, span, path))
+            start = re.sub(r"\{([hbaduw])(\d*)\}", fill, str(rng.choice(SURROUNDINGS))).encode()
+            text = start + re.sub(r"\{([hbaduw])(\d*)\}", fill, form + " {w} {w}").encode()
+            for span in (c for c in candidates(text) if c[0] >= len(start)):
+                x.append(describe(text, span, path, known))
                 y.append(int(label))
     return np.array(x), np.array(y)
 
@@ -185,7 +278,8 @@ class RandomForest:
                     gain[v[1:] == v[:-1]] = -1
                     i = int(gain.argmax())
                     if gain[i] > best[0]:
-                        best = (gain[i], (f, (v[i] + v[i + 1]) / 2))
+                        middle = (v[i] + v[i + 1]) / 2
+                        best = (gain[i], (f, middle if middle < v[i + 1] else v[i]))
                 if best[1] is None:
                     continue
                 self.feature[at], self.cut[at] = best[1]
@@ -215,15 +309,16 @@ class RandomForest:
 
 
 @functools.cache
-def train() -> RandomForest:
-    return RandomForest(*labelled())
+def train(vocabulary: str | None = None) -> RandomForest:
+    return RandomForest(*labelled(vocabulary))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
-    """A row per candidate: id, start and end (code points), length, score, secret."""
-    model = train()
+def find_secrets(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
+    """A row per candidate: id, start and end (code points), length, score, secret.  vocabulary: a file of ranks whose words the dictionary takes."""
+    model = train(vocabulary)
 
     def run(batches):
+        known = dictionary(vocabulary)
         for batch, raw in slices(batches):
             paths = batch.column(2).to_pylist()
             rows, spans, x = [], [], []
@@ -233,7 +328,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for span in found:
                     rows.append(i)
                     spans.append(tuple(int(at[k]) for k in span))
-                    x.append(describe(t, span, paths[i] or ""))
+                    x.append(describe(t, span, paths[i] or "", known))
             score = model.score(np.array(x)) if x else np.zeros(0)
             start, end = (pa.array([s[k] for s in spans], pa.int64()) for k in (0, 1))
             length = pa.array([e - s for s, e in spans], pa.int64())
@@ -245,4 +340,6 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op9_secrets(spark, sf_dir: str) -> DataFrame:
-    return find_secrets(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import random
 import sys
@@ -797,8 +798,91 @@ def test_features_count_whole_texts():
 
 
 def test_secret_forest():
-    x, y = secrets.labelled(8, 123)
-    assert ((secrets.train().score(x) >= 0.5) == y).mean() > 0.97
+    """New findings of the forms it has seen, and of forms it hasn't."""
+    x, y = secrets.labelled(RANKS, 8, 123)
+    assert ((secrets.train(RANKS).score(x) >= 0.5) == y).mean() > 0.97
+    right = []
+    for k in range(3):
+        seen = tuple(f for i, f in enumerate(secrets.LABELLED) if i % 3 != k)
+        unseen = tuple(f for i, f in enumerate(secrets.LABELLED) if i % 3 == k)
+        x, y = secrets.labelled(RANKS, 10, 77, unseen)
+        right.append((secrets.RandomForest(*secrets.labelled(RANKS, 20, 11, seen)).score(x) >= 0.5) == y)
+    assert np.concatenate(right).mean() > 0.85
+
+
+def test_secrets_of_documents(spark):
+    """Planted secrets of the test tables, found by a forest that has seen none of their form; other candidates are let go."""
+    import re
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    forms = tuple(f for f in secrets.LABELLED if 'token = "' not in f)
+    model, known = secrets.RandomForest(*secrets.labelled(RANKS, 30, 11, forms)), secrets.dictionary(RANKS)
+    found, wrong, n = 0, [], 0
+    for r in spark.read.parquet(f"{folder}/documents.parquet").select("text", "source").collect():
+        raw = (r.text or "").encode()
+        for s, e in secrets.candidates(raw):
+            planted = re.search(rb'(?i)token = "$', raw[:s][-12:]) and re.fullmatch(rb"(?i)[0-9a-f]{40}", raw[s:e])
+            secret = model.score(np.array([secrets.describe(raw, (s, e), r.source or "", known)]))[0] >= 0.5
+            n += 1
+            found += bool(planted) and bool(secret)
+            wrong += [raw[s:e]] * int(bool(planted) != secret)
+    assert found > 10 and n > 2 * found and len(wrong) <= 0.02 * n, (found, n, wrong)
+
+
+def test_secret_features():
+    known = secrets.dictionary()
+    f = dict(zip(secrets.FEATURES, secrets.describe(b'x secret = "passwordAB12cd"', (12, 26), "tests/a", known), strict=True))
+    assert (f["covered"], f["quoted"], f["assigned"], f["named"], f["test_path"], f["public"]) == (8 / 14, 1, 1, 1, 1, 0)
+    assert f["lower_lower"] == 8 / 13 and f["lower_upper"] == f["upper_digit"] == f["digit_lower"] == 1 / 13
+    assert known.surprising(b"station") < known.surprising(b"qxzvkjw") and known.surprising(b"1_2") == pytest.approx(math.log2(26))
+    # Every word's positions, by looking for each.
+    rnd = random.Random(3)
+    words = {"able", "table", "stab", "error"}
+    own = secrets.Dictionary(words)
+    for _ in range(200):
+        low = "".join(rnd.choice(["ab", "le", "st", "table", "err", "or", "1"]) for _ in range(rnd.randint(1, 12)))
+        inside = {i + j for w in words for i in range(len(low)) if low.startswith(w, i) for j in range(len(w))}
+        assert own.covered(low.encode()) == pytest.approx(len(inside) / len(low))
+
+
+def test_secret_candidates_and_trees_in_turn():
+    """Candidates against a scan by hand, trees against a walk row by row."""
+    key = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.~-")
+    rnd = random.Random(17)
+    for _ in range(600):
+        text = "".join(rnd.choice(["token", "=", ": ", '"', " ", "a1B2c3D4e5F6g7H8", "word", "==", ".-", "api_key = ", "plainlettersofaword", "\n"]) for _ in range(rnd.randint(0, 14)))
+        assigned = [m.span(1) for m in secrets.re.finditer(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"']{6,})", text)]
+        runs, i = [], 0
+        while i < len(text):
+            j = i
+            while j < len(text) and text[j] in key:
+                j += 1
+            if j - i >= 16:
+                e = min(j + 2, j + next((k for k, c in enumerate(text[j:] + "!") if c != "="), 0))
+                j = e
+                while e > i and text[e - 1] in ".-":
+                    e -= 1
+                run = text[i:e]
+                if e - i >= 16 and (any(c.isdigit() for c in run) or (any("a" <= c <= "z" for c in run) and any("A" <= c <= "Z" for c in run))):
+                    if not any(s < e and i < t for s, t in assigned):
+                        runs.append((i, e))
+            i = max(j, i + 1)
+        at = [len(text[:k].encode()) for k in range(len(text) + 1)]
+        assert secrets.candidates(text.encode()) == sorted((at[s], at[e]) for s, e in assigned + runs), text
+    x, y = secrets.labelled(None, 3, 5)
+    model = secrets.RandomForest(x, y, trees=7)
+
+    def walk(row):
+        out = []
+        for k in model.roots:
+            while model.left[k] >= 0:
+                k = model.left[k] + int(row[model.feature[k]] > model.cut[k])
+            out.append(model.value[k])
+        return sum(out) / len(out)
+
+    assert np.allclose(model.score(x), [walk(r) for r in x]) and not np.isnan(model.value).any()
 
 
 def test_secrets(spark):
