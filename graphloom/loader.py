@@ -6,9 +6,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators.dictionary import Dictionary, encode_triples, strings_of
+from .operators.dictionary import Dictionary, Encoded, encode_triples, strings_of
 from .operators.distribution import assign_greedy, assign_round_robin, collect_frequency, dump_columns, predicate_frequency, route, route_random
-from .sources.triples import dump_csv, from_lexical, load_map, read_store, save_map, write_store
+from .sources.triples import BUCKETS, Store, dump_csv, from_lexical, load_map, save_map, write_store
 from .sources.tsv import FileList, fill_ids
 
 ALGORITHMS = ("predicate_based", "predicate_based_p", "random")
@@ -32,7 +32,7 @@ class Loader:
 
     def raw(self) -> DataFrame:
         """tid, s, p, o of all files, missing ids filled in."""
-        return fill_ids(self.files.read(self.spark), self.skeleton)
+        return fill_ids(self.files.read(self.spark), self.skeleton, scan=True)
 
     def investigate(self) -> dict[str, int]:
         """Count predicates and assign them to columns."""
@@ -64,10 +64,10 @@ class Loader:
         dump_columns(kept, path)
         return refused
 
-    def store(self, path: str, buckets: int = 64) -> DataFrame:
+    def store(self, path: str, buckets: int = BUCKETS) -> Store:
         """Type the triples and write the store that queries scan."""
         write_store(from_lexical(self.raw()), path, buckets)
-        return read_store(self.spark, path)
+        return Store(self.spark, path, buckets)
 
     def encode(self, path: str, dictionary: Dictionary | None = None) -> Dictionary:
         """Write the encoded triples and the dictionary as Parquet; strings known before keep their ids."""
@@ -78,6 +78,10 @@ class Loader:
         encode_triples(triples, known).write.mode("overwrite").parquet(f"{path}/triples")
         return known
 
+    def encoded(self, path: str) -> Encoded:
+        """What encode() wrote, to query."""
+        return Encoded(self.spark.read.parquet(f"{path}/triples"), Dictionary(self.spark.read.parquet(f"{path}/dictionary")))
+
     def dump(self, table: str, path: str) -> None:
-        """A stored table as tab-separated text."""
-        dump_csv(self.spark.read.parquet(table), path)
+        """A stored table as tab-separated text, without the columns of its layout."""
+        dump_csv(self.spark.read.parquet(table).drop("batch", "p_part"), path)

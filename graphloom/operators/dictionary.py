@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.objects import CODE, DATETIME, EPOCH, INTEGER, REAL, STRING
-from ..sources.tsv import number_rows
+from ..functions.objects import CODE, DATETIME, EPOCH, INTEGER, REAL, STRING, constant
+from ..plans.terms import SLOTS, Pattern, TermError, Typed, is_variable, is_wildcard
+from ..sources.stored import frozen
 from ..sources.triples import SCHEMA
+from ..sources.tsv import number_rows
 
 
 @dataclass(frozen=True)
@@ -26,8 +29,8 @@ class Dictionary:
     def append(self, strings: DataFrame) -> "Dictionary":
         """With ids for the strings (column str) that have none, in order of the strings; null has no id."""
         new = strings.select("str").where("str IS NOT NULL").distinct().join(self.entries, "str", "left_anti")
-        # Kept, since every use must see the same ids.
-        numbered = number_rows(new.orderBy("str"), "id", self.last + 1).persist()
+        # Written, since every use must see the same ids.
+        numbered = frozen(number_rows(new.orderBy("str"), "id", self.last + 1))
         entries = self.entries.unionByName(numbered)
         last = numbered.agg(F.max("id")).first()[0]
         return Dictionary(entries, last or self.last)
@@ -40,6 +43,11 @@ class Dictionary:
         spark = self.entries.sparkSession
         return Dictionary(self.entries.unionByName(spark.createDataFrame([(self.last + 1, string)], "id long, str string")), self.last + 1), self.last + 1
 
+    def find_all(self, strings: list[str]) -> dict[str, int]:
+        """The ids of those strings, few, that have one."""
+        rows = self.entries.where(F.col("str").isin(strings)).select("str", "id").collect() if strings else []
+        return {r["str"]: r.id for r in rows}
+
     def find(self, string: str) -> int | None:
         row = self.entries.where(F.col("str") == string).select("id").first()
         return row.id if row else None
@@ -64,11 +72,23 @@ def strings_of(triples: DataFrame) -> DataFrame:
     return out.where("str IS NOT NULL").distinct()
 
 
+#: As many predicates are told to all tasks; more are joined by a shuffle.
+MOST_PREDICATES = 100_000
+
+
+def _predicates(rows: DataFrame, column: str, entries: DataFrame, key: str) -> DataFrame:
+    """The entries of the predicates in rows: few, so that a frequent predicate needn't be one task's work, or else all entries."""
+    few = rows.select(F.col(column).alias(key)).distinct().limit(MOST_PREDICATES + 1)
+    found = frozen(entries.join(F.broadcast(few), key, "left_semi"))
+    return F.broadcast(found) if few.count() <= MOST_PREDICATES else entries
+
+
 def encode_triples(triples: DataFrame, dictionary: Dictionary) -> DataFrame:
     """tid, s, p, o (long), orl (double), oty: names by their ids, integers as they are, datetimes as seconds from year 0, reals in orl with o 0."""
     out = triples
     for column in ("tid", "s", "p"):
-        out = out.join(dictionary.entries.select(F.col("id").alias(f"{column}_id"), F.col("str").alias(column)), column, "left")
+        entries = _predicates(triples, "p", dictionary.entries, "str") if column == "p" else dictionary.entries
+        out = out.join(entries.select(F.col("id").alias(f"{column}_id"), F.col("str").alias(column)), column, "left")
     codes = dictionary.entries.select(F.col("id").alias("o_id"), F.col("str").alias("o_str"))
     name = F.when(F.col("oty").isin(0, CODE, STRING), F.col("o"))
     out = out.join(codes, name == F.col("o_str"), "left")
@@ -81,10 +101,76 @@ def decode_triples(encoded: DataFrame, dictionary: Dictionary) -> DataFrame:
     """The triples that encode_triples has numbered."""
     out = encoded.withColumnsRenamed({"tid": "tid_id", "s": "s_id", "p": "p_id", "o": "value"})
     for column in ("tid", "s", "p"):
-        out = out.join(dictionary.entries.select(F.col("id").alias(f"{column}_id"), F.col("str").alias(column)), f"{column}_id", "left")
+        entries = _predicates(encoded, "p", dictionary.entries, "id") if column == "p" else dictionary.entries
+        out = out.join(entries.select(F.col("id").alias(f"{column}_id"), F.col("str").alias(column)), f"{column}_id", "left")
     code = F.when(F.col("oty").isin(0, CODE, STRING), F.col("value"))
     out = out.join(dictionary.entries.select(F.col("id").alias("o_id"), F.col("str").alias("o_str")), code == F.col("o_id"), "left")
     stamp = F.when(F.col("oty") == DATETIME, F.expr(f"timestampadd(SECOND, value - {EPOCH}L, timestamp_ntz'1970-01-01 00:00:00')"))
     whole = F.when(F.col("oty") == INTEGER, F.col("value"))
     text = F.coalesce("o_str", whole.cast("string"), F.col("orl").cast("string"), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"))
     return out.select("tid", "s", "p", "oty", text.alias("o"), whole.alias("o_int"), F.col("orl").alias("o_real"), stamp.alias("o_ts")).select(*SCHEMA.names)
+
+
+@dataclass(frozen=True)
+class EncodedPattern:
+    """A pattern with numbers for its constants: (column, value) pairs that must hold, and the object's type if it is constant."""
+
+    equal: tuple[tuple[str, int | float], ...]
+    oty: int | None = None
+
+
+def encode_pattern(pattern: Pattern, dictionary: Dictionary) -> EncodedPattern | None:
+    """The pattern's constants as numbers; None if one has no id, so that no triple can match.  Nothing is appended."""
+    names, plain, oty = {}, [], None
+    for slot, value in zip(SLOTS, pattern.slots, strict=True):
+        if is_variable(value) or is_wildcard(value):
+            continue
+        raw, kind = (value.value, value.type) if isinstance(value, Typed) else (value, None)
+        if slot != "o":
+            if not isinstance(raw, str):
+                raise TermError(f"the {slot} slot holds names, not {raw!r}")
+            names[slot] = raw
+            continue
+        oty, v = constant(raw, kind)
+        if oty == INTEGER:
+            plain.append(("o", v))
+        elif oty == REAL:
+            plain.append(("orl", v))
+        elif oty == DATETIME:
+            plain.append(("o", (v - datetime.datetime(1970, 1, 1)) // datetime.timedelta(seconds=1) + EPOCH))
+        else:
+            oty = STRING if oty == STRING else CODE
+            names["o"] = v
+    ids = dictionary.find_all(sorted(set(names.values())))
+    if any(v not in ids for v in names.values()):
+        return None
+    return EncodedPattern(tuple((slot, ids[v]) for slot, v in names.items()) + tuple(plain), oty)
+
+
+def decode_pattern(encoded: EncodedPattern, dictionary: Dictionary) -> dict[str, str | int | float | datetime.datetime]:
+    """slot -> constant of an encoded pattern."""
+    out = {}
+    for column, value in encoded.equal:
+        if column == "orl":
+            out["o"] = value
+        elif column != "o" or encoded.oty in (CODE, STRING):
+            out[column] = dictionary.find_string(value)
+        else:
+            out["o"] = value if encoded.oty == INTEGER else datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=value - EPOCH)
+    return out
+
+
+class Encoded:
+    """Encoded triples and their dictionary, to query: constants are compared as numbers, and only what matches is decoded."""
+
+    def __init__(self, triples: DataFrame, dictionary: Dictionary):
+        self.triples, self.dictionary = triples, dictionary
+
+    def matching(self, pattern: Pattern) -> DataFrame:
+        found = encode_pattern(pattern, self.dictionary)
+        if found is None:
+            return self.triples.sparkSession.createDataFrame([], SCHEMA)
+        rows = self.triples if found.oty is None else self.triples.where(F.col("oty") == found.oty)
+        for column, value in found.equal:
+            rows = rows.where(F.col(column) == F.lit(value))
+        return decode_triples(rows, self.dictionary)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,12 +40,12 @@ def assign_round_robin(freq: dict[str, int], columns: int) -> dict[str, int]:
     return {p: i % columns + 1 for i, p in enumerate(sorted(freq, key=lambda p: (-freq[p], p)))}
 
 
-def route(triples: DataFrame, assignment: dict[str, int]) -> tuple[DataFrame, DataFrame]:
-    """Triples with their column clm, and those whose predicate has none."""
+def route(triples: DataFrame, assignment: dict[Any, int]) -> tuple[DataFrame, DataFrame]:
+    """Triples, encoded or not, with their column clm, and those whose predicate has none."""
     spark = triples.sparkSession
-    table = spark.createDataFrame(list(assignment.items()) or [], "p string, clm int")
+    table = spark.createDataFrame(list(assignment.items()) or [], f"p {dict(triples.dtypes)['p']}, clm int")
     # As many rows as the assignment, which was made on the driver, has.
-    return triples.join(F.broadcast(table), "p"), triples.join(F.broadcast(table), "p", "left_anti")
+    return triples.join(F.broadcast(table), "p").select(*triples.columns, "clm"), triples.join(F.broadcast(table), "p", "left_anti")
 
 
 def route_random(triples: DataFrame, columns: int) -> DataFrame:
@@ -59,6 +59,11 @@ def dump_columns(routed: DataFrame, path: str, mode: str = "overwrite") -> None:
     routed.select("clm", *flat).write.mode(mode).partitionBy("clm").option("sep", "\t").option("quote", "").csv(path)
 
 
-def redistribute(dump: DataFrame, assignment: dict[str, int], path: str) -> None:
+def read_dump(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of dumps, clm included; schema: their columns in order, then clm."""
+    return spark.read.schema(schema).option("sep", "\t").option("quote", "").csv(path)
+
+
+def redistribute(dump: DataFrame, assignment: dict[Any, int], path: str) -> None:
     """Dumps of a new assignment from rows (with a column p) of an old one."""
     dump_columns(route(dump.drop("clm"), assignment)[0], path)

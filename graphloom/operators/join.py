@@ -1,7 +1,8 @@
 """Joins of graphs on all shared variables, and the set operators that extend them.
 
 join leaves the strategy to the optimizer; hjoin asks for a hash join built on the outer side,
-mjoin for one built on the inner side.  The hints choose a strategy only: all three give the same rows.
+mjoin for one built on the inner side, unless that side may be too large for it (HASH_BYTES).  The hints choose a strategy
+only: all three give the same rows.
 """
 
 from __future__ import annotations
@@ -33,12 +34,21 @@ def _on(outer: Bound, inner: Bound, variables: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (outer.value(v).equals(inner.value(v)) for v in variables))
 
 
+#: A hash table is built in memory: a side is hinted if the optimizer's estimate of it is at most this for each shuffle partition.
+HASH_BYTES = 64 << 20
+
+
+def _fits(side: DataFrame) -> bool:
+    estimate = int(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return estimate <= HASH_BYTES * int(side.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def join(outer: Bound, inner: Bound, kind: str = "join", known: set[str] | None = None, hints: bool = True) -> Bound:
     variables = shared(outer, inner, known)
     left, right = outer.frame, inner.frame
-    if hints and kind == "hjoin":
+    if hints and variables and kind == "hjoin" and _fits(left):
         left = left.hint("shuffle_hash")
-    if hints and kind == "mjoin":
+    if hints and variables and kind == "mjoin" and _fits(right):
         right = right.hint("shuffle_hash")
     frame = left.join(right, _on(outer, inner, variables), "inner") if variables else outer.frame.crossJoin(inner.frame)
     return Bound(frame, outer.nodes + inner.nodes, _merged(outer, inner))

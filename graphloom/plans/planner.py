@@ -20,6 +20,11 @@ def number(query: Query, first: int = 1) -> int:
     return first + 1
 
 
+def nodes(query: Query) -> list[Query]:
+    """All nodes in post-order."""
+    return [query] if isinstance(query, Scan) else [*nodes(query.outer), *nodes(query.inner), query]
+
+
 def variables(query: Query) -> set[str]:
     """Variables of all patterns below."""
     if isinstance(query, Scan):

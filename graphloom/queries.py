@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine, Result
+from .functions.objects import CODE
 from .operators import dictionary as dictionaries
 from .operators import distribution
-from .sources.relations import Relations, relation_triples
-from .sources.triples import from_lexical
+from .plans.terms import Pattern
+from .sources.relations import TABLES, Relations, relation_triples
+from .sources.stored import frozen, new_path
+from .sources.triples import Store, from_lexical, load_map, save_map, write_store
 from .sources.tsv import fill_ids, tokens
+from .streaming.load import append_to_store, triple_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,30 +166,199 @@ _add("union_join", '{join, {union, {tp, {"[]", "?x", "<c_nationkey>", "?n"}, non
 _add("differ_orders", '{differ, {tp, {"[]", "?c", "<c_name>", "?name"}, none, none}, {tp, {"[]", "?o", "<o_custkey>", "?c"}, none, none}, none, none}', _columns("?c", "?name"), "SELECT '<customer/' || c_custkey || '>' AS c, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 _add("differ_none", '{differ, {tp, {"[]", "?c", "<r_name>", "?name"}, none, none}, {tp, {"[]", "?o", "<n_name>", "?other"}, none, none}, none, none}', _columns("?name"), "SELECT r_name AS name FROM region")
 
+# All triples in SQL with their objects: type, text of codes, and values.
+_FULL = " UNION ALL ".join(
+    f"SELECT '<{t}/' || {k} || '/{c}>' AS tid, '<{t}/' || {k} || '>' AS s, '<{c}>' AS p, {oty} AS oty, {code} AS code, {whole} AS o_int, {real} AS o_real, {stamp} AS o_ts FROM {t} WHERE {c} IS NOT NULL"
+    for t, (k, kinds) in TABLES.items()
+    for c, kind in kinds.items()
+    for oty, code, whole, real, stamp in [
+        {
+            "integer": (2, "NULL::VARCHAR", f"{c}::BIGINT", "NULL::DOUBLE", "NULL::TIMESTAMP"),
+            "real": (3, "NULL::VARCHAR", "NULL::BIGINT", f"{c}::DOUBLE", "NULL::TIMESTAMP"),
+            "datetime": (4, "NULL::VARCHAR", "NULL::BIGINT", "NULL::DOUBLE", f"{c}::TIMESTAMP"),
+        }.get(kind, (1, f"'<{kind}/' || {c} || '>'" if kind in TABLES else c, "NULL::BIGINT", "NULL::DOUBLE", "NULL::TIMESTAMP"))
+    ]
+)
+
+
+def _full(triples: DataFrame) -> DataFrame:
+    """The columns of _FULL."""
+    code = F.when(F.col("oty") == CODE, F.col("o"))
+    return triples.select("tid", "s", "p", F.col("oty").cast("int").alias("oty"), code.alias("code"), "o_int", "o_real", "o_ts")
+
+
 # ------------------------------------------------------------------ dictionary, typing
-_SMALL = ("region", "nation", "customer")
-_SMALL_SQL = " UNION ALL ".join(x for x in _ALL.split(" UNION ALL ") if any(f"FROM {t} " in x for t in _SMALL))
 
 
 def _dictionary(spark: SparkSession, sf_dir: str):
-    triples = relation_triples(spark, sf_dir, _SMALL)
+    triples = relation_triples(spark, sf_dir)
     return triples, dictionaries.Dictionary.empty(spark).append(dictionaries.strings_of(triples))
 
 
-def _dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+@functools.lru_cache(maxsize=4)
+def _encoded(spark: SparkSession, sf_dir: str) -> dictionaries.Encoded:
+    """The encoded triples, written once for all queries over them."""
     triples, d = _dictionary(spark, sf_dir)
-    back = dictionaries.decode_triples(dictionaries.encode_triples(triples, d), d)
-    return back.select(F.col("tid").alias("tid1"), F.col("s").alias("s1"), F.col("p").alias("p1"))
+    return dictionaries.Encoded(frozen(dictionaries.encode_triples(triples, d)), d)
+
+
+def _dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _encoded(spark, sf_dir)
+    return _full(dictionaries.decode_triples(found.triples, found.dictionary))
 
 
 def _dict_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dictionary(spark, sf_dir)[1].entries.agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.countDistinct("str").alias("strings"))
 
 
+_STRINGS = f"SELECT unnest([tid, s, p, code]) AS x FROM ({_FULL})"
+_NUMBERED = f"numbered AS (SELECT x, row_number() OVER (ORDER BY x) AS id FROM (SELECT DISTINCT x FROM ({_STRINGS}) WHERE x IS NOT NULL))"
 QUERIES |= {"dict_roundtrip": _dict_roundtrip, "dict_size": _dict_size}
-SQL["dict_roundtrip"] = _SMALL_SQL
-_STRINGS = f"SELECT unnest([tid1, s1, p1]) AS x FROM ({_SMALL_SQL}) UNION SELECT r_name FROM region UNION SELECT n_name FROM nation UNION SELECT '<region/' || n_regionkey || '>' FROM nation UNION SELECT c_name FROM customer UNION SELECT c_mktsegment FROM customer UNION SELECT '<nation/' || c_nationkey || '>' FROM customer"
-SQL["dict_size"] = f"SELECT count(*) AS n, 1::BIGINT AS first, count(*) AS last, count(*) AS strings FROM (SELECT DISTINCT x FROM ({_STRINGS}))"
+SQL["dict_roundtrip"] = _FULL
+SQL["dict_size"] = f"SELECT count(DISTINCT x) AS n, 1::BIGINT AS first, count(DISTINCT x) AS last, count(DISTINCT x) AS strings FROM ({_STRINGS})"
+_WANTED = ("<nation/3>", "<c_acctbal>", "no such string", "<orders/1/o_orderdate>")
+
+
+def _dict_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of some strings and strings of these ids, one by one; the ids follow the order of the strings."""
+    d = _dictionary(spark, sf_dir)[1]
+    found = [(w, d.find(w)) for w in _WANTED]
+    return spark.createDataFrame([(w, i, None if i is None else d.find_string(i)) for w, i in found], "str string, id long, back string")
+
+
+def _dict_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strings of regions deleted; of them one is asked for again and gets a new id, others and known ones are appended in bulk."""
+    d = _dictionary(spark, sf_dir)[1]
+    last = d.last
+    d = d.delete(d.entries.where(F.col("str").startswith("<region/")).select("id"))
+    rest = d.size()
+    d, again = d.get_id("<region/0>")
+    d, same = d.get_id("<region/0>")
+    d = d.append(spark.createDataFrame([("<region/1>",), ("<c_name>",), (None,)], "str string"))
+    return spark.createDataFrame([(rest, again - last, same - last, d.size() - rest, d.last - last)], "rest long, again long, same long, more long, given long")
+
+
+QUERIES |= {"dict_find": _dict_find, "dict_delete": _dict_delete}
+SQL["dict_find"] = f"WITH {_NUMBERED} SELECT w.x AS str, id, n.x AS back FROM (VALUES {', '.join(f"('{w}')" for w in _WANTED)}) w(x) LEFT JOIN numbered n ON n.x = w.x"
+SQL["dict_delete"] = f"SELECT count(DISTINCT x) AS rest, 1::BIGINT AS again, 1::BIGINT AS same, 2::BIGINT AS more, 2::BIGINT AS given FROM ({_STRINGS}) WHERE NOT starts_with(x, '<region/')"
+
+
+def _over_encoded(term: str, output: Callable[[Result], DataFrame]) -> Query:
+    return lambda spark, sf_dir: output(Engine(_encoded(spark, sf_dir)).execute(term))
+
+
+for _name, _like in (("encoded_tp_p", "tp_p"), ("encoded_tp_o", "tp_o"), ("encoded_tp_po", "tp_po"), ("encoded_tp_spo", "tp_spo")):
+    SQL[_name] = SQL[_like]
+QUERIES |= {
+    "encoded_tp_p": _over_encoded(_tp('"?s"', '"<c_nationkey>"', '"?o"'), _columns("?s", "?o")),
+    "encoded_tp_o": _over_encoded(_tp('"?s"', '"?p"', '"<nation/3>"'), _columns("?s", "?p")),
+    "encoded_tp_po": _over_encoded(_tp('"?s"', '"<p_size>"', '"10"'), _columns("?s")),
+    "encoded_tp_spo": _over_encoded(_tp('"<nation/3>"', '"<n_regionkey>"', '"<region/1>"', '"?t"'), _columns("?t")),
+    "encoded_join": _over_encoded(_PATH.replace("OP1", "join").replace("OP2", "join"), _columns("?c", "?r", b=("?b", "real"))),
+    "encoded_unknown": _over_encoded(_tp('"?s"', '"<no such predicate>"', '"?o"'), _columns("?s")),
+}
+SQL["encoded_join"] = _PATH_SQL
+SQL["encoded_unknown"] = "SELECT NULL::VARCHAR AS s WHERE false"
+
+
+def _encoded_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns as numbers and back; one constant of the last has no id."""
+    d = _dictionary(spark, sf_dir)[1]
+    rows = []
+    for i, slots in enumerate([("?t", "<nation/3>", "<n_regionkey>", "<region/1>"), ("?t", "?s", "<p_size>", 10), ("?t", "?s", "<o_orderdate>", "1996-01-02"), ("?t", "<nowhere/1>", "?p", "?o")]):
+        e = dictionaries.encode_pattern(Pattern(slots), d)
+        back = dictionaries.decode_pattern(e, d) if e else {}
+        rows.append((i, len(e.equal) if e else -1, ",".join(f"{k}={v}" for k, v in sorted(back.items()))))
+    return spark.createDataFrame(rows, "i int, n int, back string")
+
+
+QUERIES["encoded_pattern"] = _encoded_pattern
+SQL["encoded_pattern"] = "SELECT * FROM (VALUES (0, 3, 'o=<region/1>,p=<n_regionkey>,s=<nation/3>'), (1, 2, 'o=10,p=<p_size>'), (2, 2, 'o=1996-01-02 00:00:00,p=<o_orderdate>'), (3, -1, '')) t(i, n, back)"
+
+
+# ------------------------------------------------------------------ stores, dumps, maps
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Store:
+    path = new_path(spark)
+    write_store(relation_triples(spark, sf_dir), path)
+    return Store(spark, path)
+
+
+def _over_store(term: str, output: Callable[[Result], DataFrame]) -> Query:
+    return lambda spark, sf_dir: output(Engine(_stored(spark, sf_dir)).execute(term))
+
+
+QUERIES |= {
+    "store_all": lambda spark, sf_dir: _full(_stored(spark, sf_dir).all()),
+    "store_tp_p": _over_store(_tp('"?s"', '"<c_nationkey>"', '"?o"'), _columns("?s", "?o")),
+    "store_tp_s": _over_store(_tp('"<customer/7>"', '"?p"', '"?o"', '"?t"'), _columns("?t", "?p")),
+    "store_join": _over_store(_PATH.replace("OP1", "hjoin").replace("OP2", "mjoin"), _columns("?c", "?r", b=("?b", "real"))),
+}
+SQL |= {"store_all": _FULL, "store_tp_p": SQL["tp_p"], "store_tp_s": SQL["tp_s"], "store_join": _PATH_SQL}
+
+
+def _stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations loaded into a store, then regions as a stream of files in text form; all are queried together."""
+    path, lines = new_path(spark), new_path(spark)
+    write_store(relation_triples(spark, sf_dir, ("nation",)), path)
+    raw = relation_triples(spark, sf_dir, ("region",)).select(F.concat_ws("\t", "tid", "s", "p", "o").alias("value"))
+    raw.write.text(lines)
+    append_to_store(triple_stream(spark, lines), path, new_path(spark)).awaitTermination()
+    return Engine(Store(spark, path)).execute(_left_deep(["join"], [_SCAN("?n", "<n_regionkey>", "?r"), _SCAN("?r", "<r_name>", "?name")])).bindings("?n", "?name")
+
+
+QUERIES["stream_append"] = _stream_append
+SQL["stream_append"] = "SELECT '<nation/' || n_nationkey || '>' AS n, r_name AS name FROM nation JOIN region ON r_regionkey = n_regionkey"
+
+
+def _redistributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded triples dumped as text by one assignment, read, dumped again by another, and read: triples and values by column."""
+    found = _encoded(spark, sf_dir)
+    ids = {r.p: r.freq for r in found.triples.groupBy("p").agg(F.count("*").alias("freq")).toLocalIterator()}
+    names = {r.id: r.str for r in found.dictionary.entries.where(F.col("id").isin(list(ids))).collect()}
+    freq = {names[i]: n for i, n in ids.items()}
+    by_id = lambda assigned: {i: assigned[names[i]] for i in ids}
+    one, two = new_path(spark), new_path(spark)
+    distribution.dump_columns(distribution.route(found.triples, by_id(distribution.assign_greedy(freq, 4)))[0], one)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.triples.schema.fields) + ", clm int"
+    distribution.redistribute(distribution.read_dump(spark, one, kinds), by_id(distribution.assign_round_robin(freq, 3)), two)
+    back = distribution.read_dump(spark, two, kinds)
+    return back.groupBy("clm").agg(F.count("*").alias("n"), F.countDistinct("p").alias("predicates"), F.count_if(F.col("oty") == 2).alias("whole"), F.sum(F.when(F.col("oty") == 2, F.col("o"))).alias("total"))
+
+
+def _random_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random routing loses nothing, stays within its columns and, here, leaves none with under a sixth of the triples."""
+    counts = distribution.route_random(relation_triples(spark, sf_dir), 4).groupBy("clm").count()
+    return counts.agg(F.sum("count").alias("n"), F.min("clm").alias("first"), F.max("clm").alias("last"), (F.min("count") * 6 > F.sum("count")).alias("even"))
+
+
+def _map_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicate counts saved as a table of keys and values, and loaded."""
+    path = new_path(spark)
+    save_map(spark, distribution.collect_frequency(distribution.predicate_frequency(Relations(spark, sf_dir))), path)
+    return spark.createDataFrame(sorted(load_map(spark, path).items()), "p string, freq long")
+
+
+QUERIES |= {"redistribute": _redistributed, "route_random": _random_route, "map_tables": _map_tables}
+SQL["route_random"] = f"SELECT count(*) AS n, 1 AS first, 4 AS last, true AS even FROM ({_ALL})"
+SQL["map_tables"] = f"SELECT p1 AS p, count(*) AS freq FROM ({_ALL}) GROUP BY p1"
+SQL["redistribute"] = f"""WITH t AS ({_FULL}), ranked AS (SELECT p, row_number() OVER (ORDER BY count(*) DESC, p) AS r FROM t GROUP BY p)
+SELECT ((r - 1) % 3 + 1)::INTEGER AS clm, count(*) AS n, count(DISTINCT p) AS predicates, count(*) FILTER (oty = 2) AS whole, sum(o_int)::BIGINT AS total FROM t JOIN ranked USING (p) GROUP BY ALL"""
+
+# ------------------------------------------------------------------ joins on ids, differences
+_add("join_id", '{join, {tp, {"?t", "?s", "<c_nationkey>", "?n"}, none, none}, {tp, {"?t", "?s2", "?p", "<nation/3>"}, none, none}, none, none}', _columns("?t", "?s", "?p"), "SELECT '<customer/' || c_custkey || '/c_nationkey>' AS t, '<customer/' || c_custkey || '>' AS s, '<c_nationkey>' AS p FROM customer WHERE c_nationkey = 3", "customer", "nation", "supplier")
+_add("differ_urgent", '{differ, {tp, {"[]", "?o", "<o_custkey>", "?c"}, none, none}, {tp, {"[]", "?o", "<o_orderpriority>", "1-URGENT"}, none, none}, none, none}', _columns("?o", "?c"), "SELECT '<orders/' || o_orderkey || '>' AS o, '<customer/' || o_custkey || '>' AS c FROM orders WHERE o_orderpriority <> '1-URGENT'")
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs by node of a query of three patterns."""
+    found = _engine(spark, sf_dir).profile(_PATH.replace("OP1", "hjoin").replace("OP2", "join"))
+    return spark.createDataFrame([(n, op, rows, seconds > 0) for n, op, rows, seconds in found], "node int, op string, graphs long, timed boolean")
+
+
+QUERIES["profile"] = _profile
+SQL["profile"] = "WITH c AS (SELECT count(*) AS n, count(*) FILTER (c_acctbal > 0) AS positive FROM customer) SELECT node, op, graphs, true AS timed FROM (SELECT 1 AS node, 'tp' AS op, n AS graphs FROM c UNION ALL SELECT 2, 'tp', (SELECT count(*) FROM nation) UNION ALL SELECT 3, 'hjoin', n FROM c UNION ALL SELECT 4, 'tp', n FROM c UNION ALL SELECT 5, 'join', positive FROM c)"
 
 
 def _typing(spark: SparkSession, sf_dir: str) -> DataFrame:

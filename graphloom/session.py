@@ -96,11 +96,36 @@ class Session:
     def distribute(self, path: str) -> DataFrame | None:
         return self._configured().distribute(path)
 
-    def load(self, path: str) -> DataFrame:
+    def load(self, path: str) -> Any:
         """Write the store and query it from now on."""
         self.triples = self._configured().store(path)
         return self.triples
 
+    def save(self, name: str) -> None:
+        """The triples at hand as a table of that name in the catalog."""
+        frame = self.triples.all() if hasattr(self.triples, "all") else self.triples
+        frame.write.mode("overwrite").saveAsTable(name)
+
+    def open(self, name: str) -> DataFrame:
+        """Query a table of the catalog from now on."""
+        self.triples = self.spark.table(name)
+        return self.triples
+
+    def tables(self) -> list[str]:
+        return [t.name for t in self.spark.catalog.listTables()]
+
+    def psql(self, text: str) -> DataFrame:
+        """A statement on the tables of the catalog."""
+        return self.spark.sql(text)
+
+    def profile(self, path: str | None = None) -> list[tuple[int, str, int, float]]:
+        """Number, operator, graphs and seconds of each node of the active query, or of a file's."""
+        engine = Engine(self.triples, self.settings["compat"], self.settings["hints"])
+        if path:
+            with open(path) as f:
+                return engine.profile(f.read())
+        return engine.profile(self.text)
+
     def describe(self, path: str) -> list[tuple[str, str]]:
         """Columns of a stored table."""
         return self.spark.read.parquet(path).dtypes

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.objects import typed_columns
+from ..plans.terms import SLOTS, Pattern, Typed, is_variable, is_wildcard
 
 SCHEMA = T.StructType(
     [
@@ -44,24 +45,52 @@ def typed_triple(tid: Column, s: Column, p: str, kind: str, value: Column) -> li
     return [tid.alias("tid"), s.alias("s"), F.lit(p).alias("p"), F.lit(oty).cast("short").alias("oty"), text.alias("o"), *(c.alias(n) for n, c in none.items())]
 
 
-def write_store(triples: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
-    """A store laid out for scans: folders by a hash of the predicate, rows sorted by predicate and subject.
+BUCKETS = 64
+#: The first load's batch; those of a stream count from 0.
+LOADED = -1
+
+
+def _part(p: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(p), F.lit(buckets)).cast("int")
+
+
+def write_store(triples: DataFrame, path: str, buckets: int = BUCKETS, batch: int | None = None) -> None:
+    """A store laid out for scans: folders by batch and by a hash of the predicate, rows sorted by predicate and subject.
 
     Constant predicates prune folders, constant subjects skip row groups.  Rows of one predicate
-    are spread over several files by subject, so a frequent predicate isn't one task's work.
+    are spread over several files by subject, so a frequent predicate isn't one task's work.  Without a batch the whole store
+    is written anew, with one that batch alone.
     """
-    out = triples.withColumn("p_part", F.pmod(F.xxhash64("p"), F.lit(buckets)).cast("int"))
-    (out.repartitionByRange("p_part", "p", "s").sortWithinPartitions("p_part", "p", "s").write.mode(mode).partitionBy("p_part").parquet(path))
+    out = triples.select(*SCHEMA.names).withColumn("p_part", _part(F.col("p"), buckets))
+    sorted_ = out.repartitionByRange("p_part", "p", "s").sortWithinPartitions("p_part", "p", "s")
+    if batch is None:
+        sorted_.withColumn("batch", F.lit(LOADED)).write.mode("overwrite").partitionBy("batch", "p_part").parquet(path)
+    else:
+        sorted_.write.mode("overwrite").partitionBy("p_part").parquet(f"{path}/batch={batch}")
+
+
+class Store:
+    """A stored table of triples; for a pattern it reads the folder of a constant predicate only."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.path, self.buckets = path, buckets
+        kind = T.StructType([*SCHEMA.fields, T.StructField("batch", T.IntegerType()), T.StructField("p_part", T.IntegerType())])
+        self.frame = spark.read.schema(kind).parquet(path)
 
+    def all(self) -> DataFrame:
+        return self.frame.select(*SCHEMA.names)
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    def matching(self, pattern: Pattern) -> DataFrame:
+        """Triples among which all that match are."""
+        p = pattern.slots[SLOTS.index("p")]
+        p = p.value if isinstance(p, Typed) else p
+        if not isinstance(p, str) or is_variable(p) or is_wildcard(p):
+            return self.all()
+        return self.frame.where((F.col("p_part") == _part(F.lit(p), self.buckets)) & (F.col("p") == p)).select(*SCHEMA.names)
 
 
-def with_predicate(store: DataFrame, predicate: str, buckets: int = 64) -> DataFrame:
-    """The store's triples of one predicate; the folder is pruned too."""
-    part = F.pmod(F.xxhash64(F.lit(predicate)), F.lit(buckets)).cast("int")
-    return store.where((F.col("p_part") == part) & (F.col("p") == predicate)).select(*SCHEMA.names)
+def read_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Store:
+    return Store(spark, path, buckets)
 
 
 def dump_csv(frame: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stored import frozen
+
 
 def tokens(line: Column) -> dict[str, Column]:
     """tid, s, p, o of a line; parts that are missing are null."""
@@ -37,15 +39,16 @@ def read_tsv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return accepted(parse(spark.read.text(paths)))
 
 
-def number_rows(frame: DataFrame, name: str, first: int = 1) -> DataFrame:
+def number_rows(frame: DataFrame, name: str, first: int = 1, scan: bool = False) -> DataFrame:
     """frame with a running number over its rows in their order.
 
-    Rows are counted by partition; only these counts meet in one place, never the rows.  Behind a shuffle
-    the two passes might see other partitions, so such a frame is kept between them.
+    Rows are counted by partition; only these counts meet in one place, never the rows.  The frame is written between
+    the two passes, since every use must see the same numbers; not so if it is a mere scan of files, whose partitions
+    are the same each time.
     """
     marked = frame.withColumn("__at", F.monotonically_increasing_id())
-    if "Exchange" in frame._jdf.queryExecution().executedPlan().toString():
-        marked = marked.persist()
+    if not scan:
+        marked = frozen(marked)
     part = F.shiftright("__at", 33)
     counts = marked.groupBy(part.alias("__part")).count()
     starts, total = {}, first
@@ -59,10 +62,10 @@ def number_rows(frame: DataFrame, name: str, first: int = 1) -> DataFrame:
     return numbered.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).select(*frame.columns, name)
 
 
-def fill_ids(raw: DataFrame, skeleton: str = "<triple_id_", first: int = 0) -> DataFrame:
-    """Rows without an id get the skeleton and a number of 12 digits, counting up from first over all such rows."""
+def fill_ids(raw: DataFrame, skeleton: str = "<triple_id_", first: int = 0, scan: bool = False) -> DataFrame:
+    """Rows without an id get the skeleton and a number of 12 digits, counting up from first over all such rows.  scan: as for number_rows."""
     known, missing = raw.where("tid IS NOT NULL"), raw.where("tid IS NULL")
-    named = number_rows(missing, "__n", first).withColumn("tid", F.concat(F.lit(skeleton), F.lpad(F.col("__n").cast("string"), 12, "0"), F.lit(">") if skeleton.startswith("<") else F.lit("")))
+    named = number_rows(missing, "__n", first, scan).withColumn("tid", F.concat(F.lit(skeleton), F.lpad(F.col("__n").cast("string"), 12, "0"), F.lit(">") if skeleton.startswith("<") else F.lit("")))
     return known.unionByName(named.select(*known.columns))
 
 

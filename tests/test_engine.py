@@ -154,13 +154,38 @@ def test_results(example):
 
 
 def test_constants_reach_the_files(spark, tmp_path, example):
-    from graphloom.sources.triples import read_store, with_predicate, write_store
+    from graphloom.sources.triples import Store, write_store
 
     write_store(example.triples, str(tmp_path / "store"), buckets=4)
-    store = read_store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), 4)
     r = Engine(store).execute('{tp, {"[]", "?a", "age", "22"}, none, none}')
     plan = r.frame._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(p,age)" in plan and "EqualTo(o_int,22)" in plan
-    assert r.bindings().collect() == [("nika",)]
-    assert Engine(with_predicate(store, "age", 4)).execute('{tp, {"[]", "?a", "?p", "?n"}, none, none}').count() == 7
-    assert with_predicate(store, "age", 4).filter(F.col("p") != "age").count() == 0
+    filters = plan[plan.index("PartitionFilters: [") :].split("]")[0]
+    assert "p_part" in filters and "= " in filters
+    files = {f.split("p_part=")[1].split("/")[0] for f in r.frame.inputFiles()}
+    assert len(files) <= 4 and r.bindings().collect() == [("nika",)]
+    assert len(r.frame._jdf.queryExecution().optimizedPlan().toString()) > 0
+    assert Engine(store).execute('{tp, {"[]", "?a", "age", "?n"}, none, none}').count() == 7
+    assert Engine(store).execute('{tp, {"[]", "?a", "?p", "?n"}, none, none}').count() == 64
+    # A second batch beside the first, read with the same pruning.
+    write_store(example.triples, str(tmp_path / "store"), 4, 0)
+    assert Engine(Store(spark, str(tmp_path / "store"), 4)).execute('{tp, {"[]", "?a", "age", "?n"}, none, none}').count() == 14
+
+
+def test_hash_hints_only_where_they_fit(spark, tmp_path, example, monkeypatch):
+    from graphloom.operators import join as joins
+
+    example.triples.write.parquet(str(tmp_path / "t"))
+    stored = Engine(spark.read.parquet(str(tmp_path / "t")))
+
+    term = '{hjoin, {tp, {"?a", "?y", "livesIn", "?x"}, none, none}, {tp, {"?b", "?z", "isLocatedIn", "?x"}, none, none}, none, none}'
+    logical = lambda: stored.execute(term).frame._jdf.queryExecution().logical().toString()
+    assert "shuffle_hash" in logical().lower()
+    monkeypatch.setattr(joins, "HASH_BYTES", 0)
+    assert "shuffle_hash" not in logical().lower()
+
+
+def test_profile(example):
+    found = example.profile('{join, {tp, {"?a", "slovenia", "hasCapital", "?x"}, none, none}, {tp, {"?b", "?y", "livesIn", "?x"}, none, none}, none, none}')
+    assert [f[:3] for f in found] == [(1, "tp", 1), (2, "tp", 7), (3, "join", 3)] and all(f[3] > 0 for f in found)

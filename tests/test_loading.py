@@ -8,7 +8,7 @@ from graphloom.benchmark import StopWatch, run_batch
 from graphloom.functions.objects import CODE, DATETIME, INTEGER, REAL, classify, constant, decoded
 from graphloom.operators.dictionary import Dictionary, decode_triples, encode_triples, strings_of
 from graphloom.operators.distribution import assign_greedy, assign_round_robin, collect_frequency, dump_columns, predicate_frequency, redistribute, route, route_random
-from graphloom.sources.triples import dump_csv, from_lexical, load_map, save_map
+from graphloom.sources.triples import Store, dump_csv, from_lexical, load_map, save_map
 from graphloom.sources.tsv import FileList, fill_ids, number_rows, parse, read_tsv, rejected
 from graphloom.streaming.load import append_to_store, triple_stream
 
@@ -126,7 +126,8 @@ def test_stream_equals_batch(spark, tmp_path):
     append_to_store(triple_stream(spark, str(source), 1), store, mark).awaitTermination()
     (source / "b.tsv").write_text("\n".join(lines[40:]) + "\n\tx\ty\tz\n")
     append_to_store(triple_stream(spark, str(source), 1), store, mark).awaitTermination()
-    got = spark.read.parquet(store).drop("batch")
+    got = Store(spark, store).all()
+    assert {r.batch for r in spark.read.parquet(store).select("batch").distinct().collect()} == {0, 1}
     assert sorted(r for r in got.where("s <> 'x'").collect()) == sorted(_example(spark).select(got.columns).collect())
     assert got.where("s = 'x'").first().tid == "<triple_id_1_000000000000>"
 
@@ -166,6 +167,7 @@ def test_loader(spark, tmp_path, algorithm):
     assert Engine(store).execute('{join, {tp, {"[]", "?x", "livesIn", "ljubljana"}, none, none}, {tp, {"[]", "?x", "age", "?y"}, {"?y", less, 30}, none}, none, none}').bindings("?x").collect() == [("nika",)]
     d = loader.encode(str(tmp_path / "enc"))
     assert spark.read.parquet(str(tmp_path / "enc/triples")).count() == 65 and d.find("nika") is not None
+    assert sorted(Engine(loader.encoded(str(tmp_path / "enc"))).execute('{tp, {"[]", "?x", "livesIn", "ljubljana"}, none, none}').bindings("?x").collect()) == [("luka",), ("marko",), ("nika",)]
     assert loader.encode(str(tmp_path / "enc2"), d).last == d.last
     loader.dump(str(tmp_path / "store"), str(tmp_path / "text"))
     assert spark.read.text(str(tmp_path / "text")).count() == 65
