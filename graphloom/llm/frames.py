@@ -1,15 +1,14 @@
-"""Shared helpers: reading tables, cutting lineage in the cluster's shared folder, connected components."""
+"""Shared helpers: reading tables, connected components; frozen() cuts lineage in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import drop_temporary, frozen, shared_dir
+
+__all__ = ["components", "drop_temporary", "frozen", "partitions", "shared_dir", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,44 +18,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def frozen(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: a cut in the lineage that a lost executor can't undo."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom-{os.getpid()}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_temporary() -> None:
-    """Remove what frozen() wrote in this process; call it when no result that builds on it is needed any more."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended
-            pass
-
-
-atexit.register(drop_temporary)
-
-
 def _joined_with_least(frame: DataFrame, least: DataFrame, most: int) -> DataFrame:
     """frame with m of its a; least: a, m and n, the number of frame's rows of a, of all a.
 
