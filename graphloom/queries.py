@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -195,9 +194,7 @@ def _dictionary(spark: SparkSession, sf_dir: str):
     return triples, dictionaries.Dictionary.empty(spark).append(dictionaries.strings_of(triples))
 
 
-@functools.lru_cache(maxsize=4)
 def _encoded(spark: SparkSession, sf_dir: str) -> dictionaries.Encoded:
-    """The encoded triples, written once for all queries over them."""
     triples, d = _dictionary(spark, sf_dir)
     return dictionaries.Encoded(frozen(dictionaries.encode_triples(triples, d)), d)
 
