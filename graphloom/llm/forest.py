@@ -8,8 +8,13 @@ vectors.  A node that spilling doesn't make smaller (a dense cloud) is a leaf.
 measured, not guessed: trees are added until of pairs that are just similar enough (each made of a vector of the
 sample and one at that angle in a random direction) a share of TARGET meets in some leaf.
 
-Vectors are compared within leaves, in double precision; a leaf of more than BLOCK vectors is compared block
-by block, all blocks with all, so that no leaf needs more memory than two blocks.  Every vector carries the names
+Vectors within half the angle of a common centre are all linked, since angles obey the triangle inequality.  So the
+centres of dense clouds are taken from the sample, every vector close enough to one belongs to the core of
+the nearest, and what links inside a core is counted from the core's size, in linear work, without comparing.
+
+All other pairs are compared within leaves, in double precision; a leaf of more than BLOCK vectors is compared block
+by block, so that no leaf needs more memory than two blocks.  Blocks hold vectors of one core or of none,
+blocks of the same core don't meet, and leaves with one core only are left out.  Every vector carries the names
 of its earlier leaves, and a pair counts only in the first leaf where it meets.  What leaves a comparison
 is a row a vector: how many new links it has there and the smallest vector it is connected to there.  So the output
 grows with the vectors that were compared, not with their pairs, and no link is lost.
@@ -29,7 +34,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import components, frozen, partitions, table
@@ -42,6 +47,9 @@ MOST_TREES = 64
 LEAF = 512
 BLOCK = 2048
 LEAST_FIT = 32
+#: A core has so many vectors of the sample at least; centres are looked for around so many vectors of the sample.
+LEAST_CORE = 16
+STARTS = 4000
 #: Of the standard deviation of the projected difference of two vectors just similar enough.
 MARGIN = 0.3
 #: So many leaves larger than a block are told to all tasks; more of them are joined.
@@ -63,6 +71,43 @@ class Forest:
             met |= self._meet(one, other, len(self.trees) - 1)
         #: The measured share of such pairs that meet.
         self.recall = float(met.mean())
+        self.half = math.sqrt((1 + similarity) / 2) + 1e-9
+        self.centres = self._dense(sample, similarity)
+
+    def _dense(self, sample: np.ndarray, similarity: float) -> np.ndarray:
+        """Centres of clouds, unit vectors with at least LEAST_CORE vectors of the sample within half the angle, densest first."""
+        starts = sample[:STARTS]
+        near = np.concatenate([np.zeros(0, np.int64), *((starts[i : i + 500] @ sample.T >= similarity).sum(1) for i in range(0, len(starts), 500))])
+        free, todo = np.ones(len(sample), bool), near >= LEAST_CORE
+        found = []
+        for i in np.argsort(-near, kind="stable"):
+            if not todo[i]:
+                continue
+            rows = np.flatnonzero(free)
+            members = around = rows[sample[rows] @ sample[i] >= similarity]
+            centre = sample[i]
+            for _ in range(2):
+                if len(members):
+                    mean = sample[members].mean(0)
+                    centre = mean / max(np.sqrt(mean @ mean), 1e-12)
+                    members = rows[sample[rows] @ centre >= self.half]
+            if len(members) >= LEAST_CORE:
+                found.append(centre)
+                free[members] = False
+            for gone in (around, members, [i]):
+                gone = np.asarray(gone)
+                todo[gone[gone < len(todo)]] = False
+        return np.array(found).reshape(-1, self.dim)
+
+    def core(self, x: np.ndarray) -> np.ndarray:
+        """The core that each row of x belongs to, or -1."""
+        out = np.full(len(x), -1, np.int32)
+        if len(self.centres):
+            for i in range(0, len(x), 4096):
+                cosine = x[i : i + 4096] @ self.centres.T
+                best = cosine.argmax(1)
+                out[i : i + 4096] = np.where(cosine[np.arange(len(best)), best] >= self.half, best, -1)
+        return out
 
     def _fit(self, sample, depth, rng):
         direction, split, child, more = [], [], [], []
@@ -153,27 +198,43 @@ def _leaves(forest: Forest, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _sizes(forest: Forest):
-    """tree, leaf, n: how many of a batch's vectors are in a leaf."""
+    """tree, leaf, core, n: how many of a batch's vectors of a core (-1: none) are in a leaf."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            _, tree, code = _leaves(forest, unit(batch, 0))
-            pairs, n = np.unique(np.stack([tree, code], 1), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1]), pa.array(n)], ["tree", "leaf", "n"])
+            x = unit(batch, 0)
+            row, tree, code = _leaves(forest, x)
+            found, n = np.unique(np.stack([tree, code, forest.core(x)[row]], 1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].astype(np.int32)), pa.array(found[:, 1]), pa.array(found[:, 2].astype(np.int32)), pa.array(n)], ["tree", "leaf", "core", "n"])
+
+    return run
+
+
+def _members(forest: Forest):
+    """rep, copies and core of the vectors that belong to a core."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                core = forest.core(unit(batch, 2))
+                inside = pa.array(core >= 0)
+                yield pa.RecordBatch.from_arrays([c.filter(inside) for c in (batch.column(0), batch.column(1), pa.array(core))], ["rep", "copies", "core"])
 
     return run
 
 
 def _assign(forest: Forest):
-    """A row per vector and leaf: with the vector, its copies and the names of those of its leaves that come earlier."""
+    """A row per vector and leaf: with the vector, its core, its copies and the names of those of its leaves that come earlier."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, tree, code = _leaves(forest, unit(batch, 2))
+            x = unit(batch, 2)
+            core = forest.core(x)
+            row, tree, code = _leaves(forest, x)
             # A leaf's name in the order in which leaves of all trees come.
             name = mix(code.astype(np.uint64) ^ mix(tree.astype(np.uint64), 3)).view(np.int64)
             order = np.lexsort((name, row))
@@ -186,7 +247,7 @@ def _assign(forest: Forest):
                 at = np.arange(int(ends[-1])) + np.repeat(begin[s:e] - (ends - earlier), earlier)
                 codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(name[at]))
                 take = pa.array(row[s:e])
-                yield pa.RecordBatch.from_arrays([pa.array(tree[s:e]), pa.array(code[s:e]), *(batch.column(i).take(take) for i in range(3)), codes], ["tree", "leaf", "rep", "copies", "v", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree[s:e]), pa.array(code[s:e]), pa.array(core[row[s:e]]), *(batch.column(i).take(take) for i in range(3)), codes], ["tree", "leaf", "core", "rep", "copies", "v", "codes"])
 
     return run
 
@@ -224,13 +285,14 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _compare(similarity: float):
     """Rows sorted by tree, leaf, pair of blocks, block: for each vector with links the number of new ones (links that meet in no
-    earlier leaf, so each counts once; copies count each) and a vector it is connected to."""
+    earlier leaf, so each counts once, and aren't inside a core; copies count each) and a vector it is connected to."""
 
     def work(group: list[pa.RecordBatch]):
         part = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
         if part.num_rows < 2:
             return
         x, rep, copies, block = unit(part, 7), part.column(5).to_numpy(), part.column(6).to_numpy(), part.column(4).to_numpy()
+        core = part.column(9).to_numpy()
         one = part.column(2)[0].as_py() == part.column(3)[0].as_py()
         cut = len(x) if one else int(np.searchsorted(block, block[0], side="right"))
         right = 0 if one else cut
@@ -240,7 +302,8 @@ def _compare(similarity: float):
         for i in range(0, cut, 512):
             a, b = np.nonzero(x[i : min(cut, i + 512)] @ x[right:].T >= similarity)
             a, b = a + i, b + right
-            a, b = a[a < b], b[a < b]
+            other = (a < b) & ((core[a] < 0) | (core[a] != core[b]))
+            a, b = a[other], b[other]
             if not len(a):
                 continue
             chosen, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -285,15 +348,29 @@ def links(distinct: DataFrame, similarity: float = 0.9, fit_rows: int = FIT_ROWS
         return distinct.select("rep", F.lit(0).cast("long").alias("n"), F.col("rep").alias("root")).limit(0)
     sample = fit.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), -1)
     forest = Forest(sample / np.sqrt((sample**2).sum(1, keepdims=True)), total, similarity)
-    sizes = distinct.select("v").mapInArrow(_sizes(forest), "tree int, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n"))
-    large = frozen(sizes.where(F.col("n") > block).select("tree", "leaf", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    rows = distinct.select("rep", "copies", "v").mapInArrow(_assign(forest), f"tree int, leaf long, rep long, copies long, v {dict(distinct.dtypes)['v']}, codes array<long>")
-    rows = rows.join(F.broadcast(large) if large.count() <= most_large else large, ["tree", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("tree", "leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "copies", "v", "codes")
-    rows = rows.repartition(partitions(spark), "tree", "leaf", "p", "q").sortWithinPartitions("tree", "leaf", "p", "q", "own")
-    return rows.mapInArrow(_compare(similarity), "rep long, n long, root long")
+    kind = dict(distinct.dtypes)["v"]
+    sizes = distinct.select("v").mapInArrow(_sizes(forest), "tree int, leaf long, core int, n long").groupBy("tree", "leaf", "core").agg(F.sum("n").alias("n"))
+    leaf = Window.partitionBy("tree", "leaf")  # a row a core
+    own = F.ceil(F.col("n") / block).cast("int")
+    parts = sizes.select("tree", "leaf", "core", own.alias("own"), F.sum("n").over(leaf).alias("all"), F.count("*").over(leaf).alias("cores"))
+    parts = parts.where((F.col("all") > block) | ((F.col("cores") == 1) & (F.col("core") >= 0)))
+    parts = frozen(parts.select("tree", "leaf", "core", "own", F.sum("own").over(leaf).cast("int").alias("blocks"), (F.sum("own").over(leaf.orderBy("core")) - F.col("own")).cast("int").alias("first")))
+    rows = distinct.select("rep", "copies", "v").mapInArrow(_assign(forest), f"tree int, leaf long, core int, rep long, copies long, v {kind}, codes array<long>")
+    rows = rows.join(F.broadcast(parts) if parts.count() <= most_large else parts, ["tree", "leaf", "core"], "left")
+    rows = rows.withColumn("mine", F.coalesce(F.col("first") + F.pmod(F.xxhash64("rep"), F.col("own")).cast("int"), F.lit(0)))
+    # All blocks of the leaf but those of the own core; leaves that aren't in parts are one block.
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    foreign = F.filter(every, lambda i: (F.col("core") < 0) | (i < F.col("first")) | (i >= F.col("first") + F.col("own")))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(foreign)))
+    rows = rows.select("tree", "leaf", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "rep", "copies", "v", "codes", "core")
+    rows = rows.repartition(partitions(spark), "tree", "leaf", "p", "q").sortWithinPartitions("tree", "leaf", "p", "q", "mine")
+    found = rows.mapInArrow(_compare(similarity), "rep long, n long, root long")
+    if not len(forest.centres):
+        return found
+    members = frozen(distinct.select("rep", "copies", "v").mapInArrow(_members(forest), "rep long, copies long, core int"))
+    totals = members.groupBy("core").agg(F.sum("copies").alias("all"), F.min("rep").alias("root"))  # a row a centre, at most STARTS
+    inside = members.join(F.broadcast(totals), "core").select("rep", (F.col("all") - F.col("copies")).alias("n"), "root").where("n > 0")
+    return found.union(inside)
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", similarity: float = 0.9) -> DataFrame:

@@ -6,6 +6,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -467,6 +468,64 @@ def test_dense_cloud_is_counted_exactly(spark):
     assert len(rows) <= 3 * len(want[0])
 
 
+def _cloud(rng, centre, n, noise):
+    return centre + rng.normal(size=(n, len(centre))) * noise / np.sqrt(len(centre))
+
+
+def test_cores_are_counted_exactly(spark):
+    """Two tight clouds whose vectors link across, a loose one around them, and others: as by brute force, whatever the blocks."""
+    rng = np.random.default_rng(8)
+    one, other = forest.just_similar(_unit(rng.normal(size=(1, 32))), 0.93, rng)
+    x = np.concatenate([_cloud(rng, one[0], 180, 0.1), _cloud(rng, other[0], 150, 0.15), _cloud(rng, one[0], 60, 0.45), rng.normal(size=(100, 32))])
+    copies = rng.integers(1, 4, len(x))
+    frame = spark.createDataFrame([(i, int(c), list(map(float, v))) for i, (c, v) in enumerate(zip(copies, x, strict=True))], "rep long, copies long, v array<double>").cache()
+    grown = forest.Forest(_unit(x), len(x), 0.9)
+    core = grown.core(_unit(x))
+    assert len(grown.centres) >= 2 and (core[:330] >= 0).mean() > 0.9 and (core[390:] < 0).all()
+    want = _plain_links(x, copies)
+    for more in ({}, {"block": 40}, {"block": 40, "most_large": 0}, {"block": 7}):
+        rows = forest.links(frame, **more).collect()
+        assert _counted(rows) == want, more
+        assert len({r.rep for r in rows if r.n < 1}) == 0
+
+
+def test_core_needs_half_the_angle():
+    """No vector further from its centre than half the angle, so no two of a core further from each other than the angle."""
+    rng = np.random.default_rng(9)
+    x = _unit(np.concatenate([_cloud(rng, c, 200, s) for c, s in zip(_unit(rng.normal(size=(6, 24))), (0.05, 0.1, 0.2, 0.3, 0.4, 0.6), strict=True)]))
+    grown = forest.Forest(x, len(x), 0.9)
+    core = grown.core(x)
+    assert 300 < (core >= 0).sum() < len(x)
+    same = (core[:, None] == core[None]) & (core >= 0)[:, None]
+    assert (x @ x.T)[same].min() >= 0.9
+    assert not len(forest.Forest(x[:1000:200], 5, 0.9).centres)
+
+
+def test_tight_clouds_are_shipped_linearly(spark, monkeypatch):
+    """Rows that reach a comparison, for a cloud in many blocks and vectors around it."""
+
+    def counted(similarity):
+        def run(batches):
+            for batch in batches:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([n]), pa.array([-1])], ["rep", "n", "root"])
+
+        return run
+
+    monkeypatch.setattr(forest, "_compare", counted)
+
+    def shipped(n, loose):
+        rng = np.random.default_rng(3)
+        centre = _unit(rng.normal(size=(1, 32)))[0]
+        x = np.concatenate([_cloud(rng, centre, n, 0.1), _cloud(rng, centre, loose, 0.7)])
+        frame = spark.createDataFrame([(i, 1, list(map(float, v))) for i, v in enumerate(x)], "rep long, copies long, v array<double>")
+        return sum(r.n for r in forest.links(frame, block=16).where("rep = -1").collect())
+
+    few, many = shipped(200, 12), shipped(400, 12)
+    assert 0 < few <= 3 * 212 and many <= 2.2 * few
+    assert shipped(400, 0) == 0
+
+
 @pytest.mark.parametrize("n", [1500, 6000])
 def test_planted_links_are_found(spark, n):
     """Pairs of cosine 0.9 to 0.93 among random vectors."""
