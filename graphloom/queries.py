@@ -67,6 +67,7 @@ _add("tp_sp", _tp('"<orders/5>"', '"<o_orderstatus>"', '"?o"'), _columns("?o"),
 _add("tp_so", _tp('"<nation/3>"', '"?p"', '"?o"'), _columns("?p"), f"SELECT p1 AS p FROM ({_ALL}) WHERE s1 = '<nation/3>'")
 _add("tp_po", _tp('"?s"', '"<p_size>"', '"10"'), _columns("?s"), "SELECT '<part/' || p_partkey || '>' AS s FROM part WHERE p_size = 10")
 _add("tp_spo", _tp('"<nation/3>"', '"<n_regionkey>"', '"<region/1>"', '"?t"'), _columns("?t"), "SELECT '<nation/' || n_nationkey || '/n_regionkey>' AS t FROM nation WHERE n_nationkey = 3 AND n_regionkey = 1")
+_add("tp_spo_known", _tp('"<nation/8>"', '"<n_regionkey>"', '"<region/3>"', '"?t"'), _columns("?t"), "SELECT '<nation/' || n_nationkey || '/n_regionkey>' AS t FROM nation WHERE n_nationkey = 8 AND n_regionkey = 3")
 _add("tp_all", _tp('"?s"', '"?p"', '"?o"', '"?t"'), _triples(1), _ALL)
 _add("tp_tid", _tp('"?s"', '"?p"', '"?o"', '"<nation/4/n_name>"'), _columns("?s", "?p", "?o"), "SELECT '<nation/' || n_nationkey || '>' AS s, '<n_name>' AS p, n_name AS o FROM nation WHERE n_nationkey = 4")
 _add("tp_wildcard", _tp('"_:s"', '"_:p"', '"[]"', '"_:t"'), _triples(1), _ALL)
