@@ -6,12 +6,12 @@ import time
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.objects import decoded
-from .operators.bound import Bound
-from .plans.planner import compile_query, nodes, number
+from .operators.bound import COUNT, Bound
+from .plans.planner import compile_counts, compile_query, nodes, number
 from .plans.terms import Query, to_query
 
 
@@ -43,16 +43,21 @@ class Result:
         typed: column=(variable, "code" | "integer" | "real" | "datetime") for a value of that type.
         """
         chosen = list(variables) or ([] if typed else list(self.bound.places))
-        cols = []
-        for v in chosen:
-            x = self.bound.value(v)
-            cols.append((decoded(x.oty, x.o, x.o_real) if x.is_object else x.code).alias(v.lstrip("?")))
+        cols = self.shown(*chosen)
         for name, (v, kind) in typed.items():
             x = self.bound.value(v)
             column = {"code": x.code, "integer": x.o_int, "real": x.o_real, "datetime": x.o_ts}[kind]
             cols.append((F.lit(None) if column is None else column).alias(name))
         return self.frame.select(*cols)
 
+    def shown(self, *variables: str) -> list[Column]:
+        """The columns of variables, decoded."""
+        cols = []
+        for v in variables:
+            x = self.bound.value(v)
+            cols.append((decoded(x.oty, x.o, x.o_real) if x.is_object else x.code).alias(v.lstrip("?")))
+        return cols
+
     def limit(self, n: int) -> "Result":
         """At most n graphs; count() of the whole result isn't capped."""
         return Result(Bound(self.frame.limit(n), self.bound.nodes, self.bound.places), self.query)
@@ -99,6 +104,17 @@ class Engine:
             out.append((node.node, getattr(node, "op", "tp"), found, time.perf_counter() - began))
         return out
 
+    def counts(self, term: Any, *variables: str, name: str = "n") -> DataFrame:
+        """A column per variable as bindings() gives them, and name: the number of the query's graphs with these values.
+
+        The graphs are counted, not made (planner.compile_counts), so their number may be far beyond what could be listed.
+        """
+        query = to_query(term)
+        number(query)
+        bound = compile_counts(query, self.triples, set(variables), self.compat, self.hints)
+        shown = Result(bound, query).shown(*variables)
+        return bound.frame.select(*shown, F.col(COUNT).alias("__n")).groupBy(*(v.lstrip("?") for v in variables)).agg(F.sum("__n").alias(name))
+
     def execute_file(self, path: str) -> Result:
         with open(path) as f:
             return self.execute(f.read())

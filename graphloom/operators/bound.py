@@ -76,3 +76,34 @@ class Value:
         if self.is_object and other.is_object:
             return (self.oty == other.oty) & (self.o == other.o)
         return self.code == other.code
+
+
+#: The number of equal graphs that a row stands for; see planner.compile_counts.
+COUNT = "graphs"
+
+
+def _kept(places: tuple[Place, ...]) -> tuple[Place, ...]:
+    """The places that value() looks at."""
+    return tuple(p for p in places if not p.optional)[:1] or places
+
+
+def narrowed(bound: Bound, variables: set[str], fold: bool) -> Bound:
+    """The graphs as far as these variables go, and how many there are of each: COUNT.  fold: equal rows are made one."""
+    places = {v: _kept(ps) for v, ps in bound.places.items() if v in variables}
+    exact, values = [], []
+    for node, slot in sorted({(p.node, p.slot) for ps in places.values() for p in ps}):
+        if slot == "o":
+            exact += [f"n{node}_{f}" for f in ("oty", "o", "o_int", "o_real", "o_ts")]
+            values.append(f"n{node}_o_real")
+        else:
+            exact.append(f"n{node}_{slot}")
+    count = F.col(COUNT) if COUNT in bound.frame.columns else F.lit(1).cast("long")
+    if fold:
+        # Grouping makes -0.0 a 0.0; their texts differ, so each group has one real, which is taken as it is.
+        found = bound.frame.groupBy(*exact).agg(F.sum(count).alias(COUNT), *(F.first(v).alias(f"{v}_kept") for v in values))
+        if not exact:
+            found = found.where(F.col(COUNT) > 0)
+        frame = found.select(*(F.col(f"{c}_kept" if c in values else c).alias(c) for c in exact), COUNT)
+    else:
+        frame = bound.frame.select(*exact, count.alias(COUNT))
+    return Bound(frame, bound.nodes, places)

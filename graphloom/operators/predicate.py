@@ -78,3 +78,14 @@ def condition(expression: Any, bound: Bound) -> Column:
 
 def select(bound: Bound, expression: Any) -> Bound:
     return bound if expression is None else Bound(bound.frame.where(condition(expression, bound)), bound.nodes, bound.places)
+
+
+def mentioned(expression: Any) -> set[str]:
+    """The variables of a predicate."""
+    if isinstance(expression, Not):
+        return mentioned(expression.operand)
+    if isinstance(expression, Connective):
+        return mentioned(expression.left) | mentioned(expression.right)
+    if isinstance(expression, Comparison):
+        return {x for x in (expression.left, expression.right) if is_variable(x)}
+    return set()

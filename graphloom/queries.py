@@ -32,6 +32,12 @@ def _add(name: str, term: str, output: Callable[[Result], DataFrame], sql: str,
     SQL[name] = sql
 
 
+def _add_counts(name: str, term: str, variables: str, sql: str, *tables: str, count: str = "n") -> None:
+    """The number of graphs by variables; joins on a value as frequent as a nation have too many to make each."""
+    QUERIES[name] = lambda spark, sf_dir: _engine(spark, sf_dir, *tables).counts(term, *(f"?{v}" for v in variables.split()), name=count)
+    SQL[name] = sql
+
+
 def _columns(*variables: str, **typed: tuple[str, str]) -> Callable[[Result], DataFrame]:
     return lambda result: result.bindings(*variables, **typed)
 
@@ -148,7 +154,7 @@ _EIGHT = [
 _EIGHT_SQL = "SELECT a.n_name AS name1, b.n_name AS name2, r_name AS rn, count(*) AS n FROM customer JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_regionkey = a.n_regionkey JOIN supplier ON s_nationkey = b.n_nationkey JOIN region ON r_regionkey = a.n_regionkey WHERE c_mktsegment = 'BUILDING' GROUP BY ALL"
 _add("bench_eight_join", _left_deep(["join"] * 7, _EIGHT), _PER("name1", "name2", "rn"), _EIGHT_SQL)
 _add("bench_eight_mjoin", _left_deep(["mjoin", "join", "join", "mjoin", "mjoin", "join", "join"], _EIGHT), _PER("name1", "name2", "rn"), _EIGHT_SQL)
-_add("bench_linked", _left_deep(["join", "join"], [_SCAN("?c", "?p1", "?n0"), _SCAN("?s", "?p2", "?n0"), _SCAN("?n0", "<n_regionkey>", "<region/1>")]), _PER("p1", "p2"), "SELECT a.p AS p1, b.p AS p2, count(*) AS n FROM (SELECT '<c_nationkey>' AS p, c_nationkey AS k FROM customer UNION ALL SELECT '<s_nationkey>', s_nationkey FROM supplier) a JOIN (SELECT '<c_nationkey>' AS p, c_nationkey AS k FROM customer UNION ALL SELECT '<s_nationkey>', s_nationkey FROM supplier) b USING (k) JOIN nation ON n_nationkey = k WHERE n_regionkey = 1 GROUP BY ALL", "customer", "supplier", "nation")
+_add_counts("bench_linked", _left_deep(["join", "join"], [_SCAN("?c", "?p1", "?n0"), _SCAN("?s", "?p2", "?n0"), _SCAN("?n0", "<n_regionkey>", "<region/1>")]), "p1 p2", "SELECT a.p AS p1, b.p AS p2, count(*) AS n FROM (SELECT '<c_nationkey>' AS p, c_nationkey AS k FROM customer UNION ALL SELECT '<s_nationkey>', s_nationkey FROM supplier) a JOIN (SELECT '<c_nationkey>' AS p, c_nationkey AS k FROM customer UNION ALL SELECT '<s_nationkey>', s_nationkey FROM supplier) b USING (k) JOIN nation ON n_nationkey = k WHERE n_regionkey = 1 GROUP BY ALL", "customer", "supplier", "nation")
 _add("bench_by_subject", _left_deep(["join", "join"], [_SCAN("<supplier/1>", "<s_nationkey>", "?n0"), _SCAN("?c", "<c_nationkey>", "?n0"), _SCAN("?o", "<o_custkey>", "?c")]), _columns("?c", "?o"), "SELECT '<customer/' || c_custkey || '>' AS c, '<orders/' || o_orderkey || '>' AS o FROM supplier JOIN customer ON c_nationkey = s_nationkey JOIN orders ON o_custkey = c_custkey WHERE s_suppkey = 1")
 
 # ------------------------------------------------------------------ projection

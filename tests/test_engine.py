@@ -189,3 +189,26 @@ def test_hash_hints_only_where_they_fit(spark, tmp_path, example, monkeypatch):
 def test_profile(example):
     found = example.profile('{join, {tp, {"?a", "slovenia", "hasCapital", "?x"}, none, none}, {tp, {"?b", "?y", "livesIn", "?x"}, none, none}, none, none}')
     assert [f[:3] for f in found] == [(1, "tp", 1), (2, "tp", 7), (3, "join", 3)] and all(f[3] > 0 for f in found)
+
+
+def test_counts_make_no_pairs(spark):
+    """3000 and 3000 subjects of one object: 9 million graphs, counted from a row for each side."""
+    rows = spark.range(6000).selectExpr("concat('t', id) tid", "concat('s', id) s", "if(id < 3000, 'p', 'q') p", "'hub' o")
+    term = '{join, {tp, {"[]", "?a", "p", "?x"}, none, none}, {tp, {"[]", "?b", "q", "?x"}, none, none}, none, none}'
+    engine = Engine(from_lexical(rows))
+    found = engine.counts(term, "?x")
+    assert found.collect() == [("hub", 9_000_000)]
+    made = []
+
+    def look(plan):
+        if plan.nodeName().endswith("Join"):
+            made.append(plan.metrics().apply("numOutputRows").value())
+        for below in (plan.executedPlan(),) if hasattr(plan, "executedPlan") and plan.nodeName() == "AdaptiveSparkPlan" else (plan.plan(),) if plan.nodeName().endswith("QueryStage") else ():
+            look(below)
+        for i in range(plan.children().size()):
+            look(plan.children().apply(i))
+
+    look(found._jdf.queryExecution().executedPlan())
+    assert made == [1]
+    reals = from_lexical(spark.createDataFrame([("1", "a", "v", "-0.0"), ("2", "b", "v", "0.0"), ("3", "c", "v", "0.0")], "tid string, s string, p string, o string"))
+    assert sorted(Engine(reals).counts('{tp, {"[]", "?s", "v", "?o"}, none, none}', "?o").collect()) == [("-0.0", 1), ("0.0", 2)]
