@@ -104,7 +104,7 @@ _STAR_SQL = "SELECT '<part/' || p_partkey || '>' AS s, p_brand AS b, p_type AS t
 for _name in ("join", "hjoin", "mjoin"):
     _add(f"{_name}_star", _STAR.replace("JOIN", _name), _columns("?s", "?b", "?t", z=("?z", "integer")), _STAR_SQL)
 _add("join_chain", '{join, {join, {join, {tp, {"[]", "?o", "<o_custkey>", "?c"}, none, none}, {tp, {"[]", "?c", "<c_nationkey>", "?n"}, none, none}, none, none}, {tp, {"[]", "?n", "<n_regionkey>", "?r"}, none, none}, none, none}, {tp, {"[]", "?r", "<r_name>", "?name"}, none, none}, none, none}', _columns("?o", "?name"), "SELECT '<orders/' || o_orderkey || '>' AS o, r_name AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-_add("join_cycle", '{join, {join, {tp, {"[]", "?c", "<c_nationkey>", "?n"}, none, none}, {tp, {"[]", "?s", "<s_nationkey>", "?n"}, none, none}, none, none}, {join, {tp, {"[]", "?n", "<n_regionkey>", "?r"}, none, none}, {tp, {"[]", "?r", "<r_name>", "?rn"}, none, none}, none, none}, none, none}', lambda r: r.bindings("?n", "?rn").groupBy("n", "rn").agg(F.count("*").alias("pairs")), "SELECT '<nation/' || n_nationkey || '>' AS n, r_name AS rn, count(*) AS pairs FROM customer JOIN supplier ON s_nationkey = c_nationkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")
+_add_counts("join_cycle", '{join, {join, {tp, {"[]", "?c", "<c_nationkey>", "?n"}, none, none}, {tp, {"[]", "?s", "<s_nationkey>", "?n"}, none, none}, none, none}, {join, {tp, {"[]", "?n", "<n_regionkey>", "?r"}, none, none}, {tp, {"[]", "?r", "<r_name>", "?rn"}, none, none}, none, none}, none, none}', "n rn", "SELECT '<nation/' || n_nationkey || '>' AS n, r_name AS rn, count(*) AS pairs FROM customer JOIN supplier ON s_nationkey = c_nationkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL", count="pairs")
 _add("join_varpred", '{hjoin, {tp, {"[]", "<customer/1>", "?prd", "?o1"}, none, none}, {tp, {"[]", "<customer/2>", "?prd", "?o2"}, none, none}, none, none}', _columns("?prd"), "SELECT p AS prd FROM (VALUES ('<c_name>'), ('<c_nationkey>'), ('<c_acctbal>'), ('<c_mktsegment>')) t(p) WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = 1) AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = 2)", "customer", "supplier")
 _add("join_object", '{join, {tp, {"[]", "?a", "<c_nationkey>", "?n"}, {"?a", equal, "<customer/1>"}, none}, {tp, {"[]", "?b", "<s_nationkey>", "?n"}, none, none}, none, none}', _columns("?a", "?b"), "SELECT '<customer/1>' AS a, '<supplier/' || s_suppkey || '>' AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey = 1")
 
