@@ -92,7 +92,7 @@ def _join_rows(plan):
     return sum((_join_rows(b) for b in below), own)
 
 
-@pytest.mark.parametrize("name", ["bench_linked", "bench_eight_join", "join_cycle", "bench_two_join", "bench_two_hjoin", "bench_two_mjoin"])
+@pytest.mark.parametrize("name", ["bench_linked", "bench_eight_join", "bench_eight_mjoin", "bench_two_join", "bench_two_hjoin", "bench_two_mjoin", "join_cycle"])
 def test_counts_of_frequent_values_list_no_pairs(spark, crowded, name):
     folder, con = crowded
     got = QUERIES[name](spark, folder)
