@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of a task that sorts or groups, up to 200 tasks; these write a shuffle without buffering rows (spark.shuffle.sort.bypassMergeThreshold).
+TASK_ROWS = 250_000
+#: Beyond 200 tasks, rows of a task.
+MOST_TASK_ROWS = 2_000_000
+
+
+def tasks_for(rows: int) -> int:
+    """In how many parts so many rows are sorted.  Parts of a given number aren't merged by adaptive execution, so a task's memory has a bound."""
+    return max(1, min(200, -(-rows // TASK_ROWS)), -(-rows // MOST_TASK_ROWS))
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.objects import typed_columns
 from ..plans.terms import SLOTS, Pattern, Typed, is_variable, is_wildcard
+from .stored import tasks_for
 
 SCHEMA = T.StructType(
     [
@@ -58,11 +59,12 @@ def write_store(triples: DataFrame, path: str, buckets: int = BUCKETS, batch: in
     """A store laid out for scans: folders by batch and by a hash of the predicate, rows sorted by predicate and subject.
 
     Constant predicates prune folders, constant subjects skip row groups.  Rows of one predicate
-    are spread over several files by subject, so a frequent predicate isn't one task's work.  Without a batch the whole store
+    are spread over several files by subject, so a frequent predicate isn't one task's work.  The rows are counted first, so
+    that a task sorts a bounded number of them.  Without a batch the whole store
     is written anew, with one that batch alone.
     """
     out = triples.select(*SCHEMA.names).withColumn("p_part", _part(F.col("p"), buckets))
-    sorted_ = out.repartitionByRange("p_part", "p", "s").sortWithinPartitions("p_part", "p", "s")
+    sorted_ = out.repartitionByRange(tasks_for(triples.count()), "p_part", "p", "s").sortWithinPartitions("p_part", "p", "s")
     if batch is None:
         sorted_.withColumn("batch", F.lit(LOADED)).write.mode("overwrite").partitionBy("batch", "p_part").parquet(path)
     else:

@@ -173,3 +173,17 @@ def test_loader(spark, tmp_path, algorithm):
     assert spark.read.text(str(tmp_path / "text")).count() == 65
     with pytest.raises(ValueError):
         Loader(spark, 3, "other")
+
+
+def test_parts_follow_the_rows(spark, tmp_path, monkeypatch):
+    """A task of the store's writer sorts a given number of rows, however few partitions a shuffle has or adaptive execution makes."""
+    from graphloom.sources import stored, triples
+    from graphloom.sources.stored import tasks_for
+
+    assert [tasks_for(n) for n in (0, 1, 250_001, 50_000_000, 329_000_000, 1_000_000_000)] == [1, 1, 2, 200, 200, 500]
+    monkeypatch.setattr(stored, "TASK_ROWS", 1000)
+    rows = from_lexical(spark.range(20_000).selectExpr("concat('t', id) tid", "concat('s', id) s", "'p' p", "string(id) o"))
+    triples.write_store(rows, str(tmp_path / "store"))
+    sizes = [r[0] for r in spark.read.parquet(str(tmp_path / "store")).groupBy(F.input_file_name()).count().select("count").collect()]
+    assert sum(sizes) == 20_000 and len(sizes) >= 18 and max(sizes) < 2500
+    assert sorted(Store(spark, str(tmp_path / "store")).all().collect()) == sorted(rows.collect())
