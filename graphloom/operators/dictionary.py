@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.objects import CODE, DATETIME, EPOCH, INTEGER, REAL, STRING, constant
 from ..plans.terms import SLOTS, Pattern, TermError, Typed, is_variable, is_wildcard
-from ..sources.stored import frozen
+from ..sources.stored import frozen, tasks_for
 from ..sources.triples import SCHEMA
 from ..sources.tsv import number_rows
 
@@ -28,12 +28,15 @@ class Dictionary:
 
     def append(self, strings: DataFrame) -> "Dictionary":
         """With ids for the strings (column str) that have none, in order of the strings; null has no id."""
-        new = strings.select("str").where("str IS NOT NULL").distinct().join(self.entries, "str", "left_anti")
-        # Written, since every use must see the same ids.
-        numbered = frozen(number_rows(new.orderBy("str"), "id", self.last + 1))
-        entries = self.entries.unionByName(numbered)
-        last = numbered.agg(F.max("id")).first()[0]
-        return Dictionary(entries, last or self.last)
+        given = strings.select("str").where("str IS NOT NULL")
+        # Parts of a given number, which are not merged, so that no task groups or sorts more than tasks_for says.
+        new = given.repartition(tasks_for(given.count()), "str").distinct()
+        first = self.entries.isEmpty()
+        new = frozen(new if first else new.join(self.entries, "str", "left_anti"))
+        rows = new.count()
+        # number_rows writes the sorted rows, so every use sees the same ids.
+        numbered = number_rows(new.repartitionByRange(tasks_for(rows), "str").sortWithinPartitions("str"), "id", self.last + 1).select("id", "str")
+        return Dictionary(numbered if first else self.entries.unionByName(numbered), self.last + rows)
 
     def get_id(self, string: str) -> tuple["Dictionary", int]:
         """The id of a string, appended if it has none."""
@@ -64,12 +67,10 @@ class Dictionary:
 
 
 def strings_of(triples: DataFrame) -> DataFrame:
-    """The strings that encoding needs: ids, subjects, predicates, code objects.  Repeats go before the shuffle's final step."""
-    columns = [triples.select(F.col(c).alias("str")) for c in ("tid", "s", "p")] + [triples.where(F.col("oty").isin(0, CODE, STRING)).select(F.col("o").alias("str"))]
-    out = columns[0]
-    for c in columns[1:]:
-        out = out.unionAll(c)
-    return out.where("str IS NOT NULL").distinct()
+    """The strings that encoding needs, repeats included: ids, subjects, code objects, and each predicate once."""
+    name = F.when(F.col("oty").isin(0, CODE, STRING), F.col("o"))
+    out = triples.select(F.explode(F.array("tid", "s", name)).alias("str")).unionAll(triples.select(F.col("p").alias("str")).distinct())
+    return out.where("str IS NOT NULL")
 
 
 #: As many predicates are told to all tasks; more are joined by a shuffle.
@@ -83,32 +84,75 @@ def _predicates(rows: DataFrame, column: str, entries: DataFrame, key: str) -> D
     return F.broadcast(found) if few.count() <= MOST_PREDICATES else entries
 
 
+#: Of so many rows drawn, a value that comes FREQUENT times is told to all tasks, so that its rows needn't meet in one; there are at most DRAWN / FREQUENT.
+DRAWN, FREQUENT = 100_000, 50
+
+
+def _frequent(rows: DataFrame, total: int, columns: tuple[str, ...]) -> dict[str, list]:
+    """Values that probably are frequent in a column.  What is drawn decides only how a value is joined."""
+    drawn = rows.select(*columns).sample(min(1.0, DRAWN / max(1, total)), seed=1)
+    pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns))
+    found = drawn.select(F.explode(pairs).alias("x")).where("x.v IS NOT NULL").groupBy("x.c", "x.v").count().where(F.col("count") >= FREQUENT).collect()
+    kind = int if dict(rows.dtypes)[columns[0]] == "bigint" else str
+    return {c: [kind(r.v) for r in found if r.c == c] for c in columns}
+
+
+def _joined(rows: DataFrame, column: str, entries: DataFrame, key: str, wanted: str, parts: int, frequent: list) -> DataFrame:
+    """rows with column's value, entries' key, replaced by wanted of its entry, null if it has none.
+
+    Values are joined by a hash of them: long texts that begin alike are slow to sort.  Rows without a value, and those of
+    frequent values, which are joined by a broadcast of few entries, are spread over all parts.
+    """
+    kinds, get = dict(entries.dtypes), f"__{column}_{wanted}"
+    table = entries.select(F.xxhash64(key).alias("__k"), F.col(key).alias("__key"), F.col(wanted).alias("__wanted"))
+    if frequent:
+        known = [(r[0], r[1]) for r in entries.where(F.col(key).isin(frequent)).select(key, wanted).collect()]
+        few = rows.sparkSession.createDataFrame(known, f"{column} {kinds[key]}, __known {kinds[wanted]}")
+        rows = rows.join(F.broadcast(few), column, "left")
+    else:
+        rows = rows.withColumn("__known", F.lit(None).cast(kinds[wanted]))
+    left = F.when(F.col("__known").isNull(), F.col(column))
+    others = [c for c in rows.columns if c not in (column, "__known")]
+    spread = rows.withColumn("__at", left).withColumn("__hash", F.when(F.col("__at").isNull(), F.xxhash64(*others)).otherwise(F.xxhash64("__at"))).drop(column)
+    spread = spread.repartition(parts, "__hash", "__at")
+    table = table.repartition(parts, "__k", "__key")
+    found = spread.join(table, (F.col("__hash") == F.col("__k")) & (F.col("__at") == F.col("__key")), "left")
+    return found.select(*others, F.coalesce("__known", "__wanted").alias(get)).withColumnRenamed(get, column)
+
+
+def _parts(total: int, entries: DataFrame) -> int:
+    return tasks_for(max(total, entries.count()))
+
+
 def encode_triples(triples: DataFrame, dictionary: Dictionary) -> DataFrame:
     """tid, s, p, o (long), orl (double), oty: names by their ids, integers as they are, datetimes as seconds from year 0, reals in orl with o 0."""
-    out = triples
-    for column in ("tid", "s", "p"):
-        entries = _predicates(triples, "p", dictionary.entries, "str") if column == "p" else dictionary.entries
-        out = out.join(entries.select(F.col("id").alias(f"{column}_id"), F.col("str").alias(column)), column, "left")
-    codes = dictionary.entries.select(F.col("id").alias("o_id"), F.col("str").alias("o_str"))
     name = F.when(F.col("oty").isin(0, CODE, STRING), F.col("o"))
-    out = out.join(codes, name == F.col("o_str"), "left")
     seconds = F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', o_ts) + {EPOCH}L")
-    value = F.when(F.col("oty") == INTEGER, F.col("o_int")).when(F.col("oty") == REAL, F.lit(0).cast("long")).when(F.col("oty") == DATETIME, seconds).otherwise(F.col("o_id"))
-    return out.select(F.col("tid_id").alias("tid"), F.col("s_id").alias("s"), F.col("p_id").alias("p"), value.alias("o"), F.col("o_real").alias("orl"), "oty")
+    value = F.when(F.col("oty") == INTEGER, F.col("o_int")).when(F.col("oty") == REAL, F.lit(0).cast("long")).when(F.col("oty") == DATETIME, seconds)
+    entries = _predicates(triples, "p", dictionary.entries, "str").select(F.col("id").alias("p_id"), F.col("str").alias("p"))
+    out = triples.select("tid", "s", "p", "oty", name.alias("name"), value.alias("value"), F.col("o_real").alias("orl"))
+    total = out.count()
+    parts, frequent = _parts(total, dictionary.entries), _frequent(out, total, ("tid", "s", "name"))
+    out = out.join(entries, "p", "left").drop("p")
+    for column in ("tid", "s", "name"):
+        out = _joined(out, column, dictionary.entries, "str", "id", parts, frequent[column])
+    return out.select("tid", "s", F.col("p_id").alias("p"), F.coalesce("value", "name").alias("o"), "orl", "oty")
 
 
 def decode_triples(encoded: DataFrame, dictionary: Dictionary) -> DataFrame:
     """The triples that encode_triples has numbered."""
-    out = encoded.withColumnsRenamed({"tid": "tid_id", "s": "s_id", "p": "p_id", "o": "value"})
-    for column in ("tid", "s", "p"):
-        entries = _predicates(encoded, "p", dictionary.entries, "id") if column == "p" else dictionary.entries
-        out = out.join(entries.select(F.col("id").alias(f"{column}_id"), F.col("str").alias(column)), f"{column}_id", "left")
-    code = F.when(F.col("oty").isin(0, CODE, STRING), F.col("value"))
-    out = out.join(dictionary.entries.select(F.col("id").alias("o_id"), F.col("str").alias("o_str")), code == F.col("o_id"), "left")
+    code = F.when(F.col("oty").isin(0, CODE, STRING), F.col("o"))
+    entries = _predicates(encoded, "p", dictionary.entries, "id").select(F.col("id").alias("p"), F.col("str").alias("p_str"))
+    out = encoded.select("tid", "s", "p", code.alias("name"), F.when(~F.col("oty").isin(0, CODE, STRING), F.col("o")).alias("value"), "orl", "oty")
+    total = out.count()
+    parts, frequent = _parts(total, dictionary.entries), _frequent(out, total, ("tid", "s", "name"))
+    out = out.join(entries, "p", "left").drop("p")
+    for column in ("name", "s", "tid"):
+        out = _joined(out, column, dictionary.entries, "id", "str", parts, frequent[column])
     stamp = F.when(F.col("oty") == DATETIME, F.expr(f"timestampadd(SECOND, value - {EPOCH}L, timestamp_ntz'1970-01-01 00:00:00')"))
     whole = F.when(F.col("oty") == INTEGER, F.col("value"))
-    text = F.coalesce("o_str", whole.cast("string"), F.col("orl").cast("string"), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"))
-    return out.select("tid", "s", "p", "oty", text.alias("o"), whole.alias("o_int"), F.col("orl").alias("o_real"), stamp.alias("o_ts")).select(*SCHEMA.names)
+    text = F.coalesce("name", whole.cast("string"), F.col("orl").cast("string"), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"))
+    return out.select("tid", "s", F.col("p_str").alias("p"), "oty", text.alias("o"), whole.alias("o_int"), F.col("orl").alias("o_real"), stamp.alias("o_ts")).select(*SCHEMA.names)
 
 
 @dataclass(frozen=True)

@@ -187,3 +187,18 @@ def test_parts_follow_the_rows(spark, tmp_path, monkeypatch):
     sizes = [r[0] for r in spark.read.parquet(str(tmp_path / "store")).groupBy(F.input_file_name()).count().select("count").collect()]
     assert sum(sizes) == 20_000 and len(sizes) >= 18 and max(sizes) < 2500
     assert sorted(Store(spark, str(tmp_path / "store")).all().collect()) == sorted(rows.collect())
+
+
+def test_encoding_spreads_frequent_values(spark, monkeypatch):
+    """Neither objects without a string nor a string that half the triples share make one task's work, to and fro."""
+    from graphloom.sources import stored
+
+    monkeypatch.setattr(stored, "TASK_ROWS", 1000)
+    rows = from_lexical(spark.range(12_000).selectExpr("concat('t', id) tid", "concat('s', id % 6000) s", "if(id % 2 = 0, 'p', 'q') p", "if(id % 2 = 0, 'hub', string(id)) o"))
+    most = lambda frame: frame.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    d = Dictionary.empty(spark).append(strings_of(rows))
+    assert d.size() == d.last == 18_003 and d.entries.orderBy("id").select("str").collect() == d.entries.orderBy("str").select("str").collect()
+    e = encode_triples(rows, d)
+    back = decode_triples(e, d)
+    assert sorted(back.collect()) == sorted(rows.collect())
+    assert most(e) < 2400 and most(back) < 2400
