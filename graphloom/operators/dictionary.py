@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.objects import CODE, DATETIME, EPOCH, INTEGER, REAL, STRING, constant
 from ..plans.terms import SLOTS, Pattern, TermError, Typed, is_variable, is_wildcard
-from ..sources.stored import frozen, tasks_for
+from ..sources.stored import discard, frozen, passing, slices_for, sparing, tasks_for, written
 from ..sources.triples import SCHEMA
 from ..sources.tsv import number_rows
 
@@ -26,16 +27,18 @@ class Dictionary:
     def empty(spark: SparkSession) -> "Dictionary":
         return Dictionary(spark.createDataFrame([], "id long, str string"))
 
-    def append(self, strings: DataFrame) -> "Dictionary":
-        """With ids for the strings (column str) that have none, in order of the strings; null has no id."""
+    def append(self, strings: DataFrame, most: int | None = None) -> "Dictionary":
+        """With ids for the strings (column str) that have none, in order of the strings; null has no id.  most: there aren't more strings; else they are counted."""
         given = strings.select("str").where("str IS NOT NULL")
-        # Parts of a given number, which are not merged, so that no task groups or sorts more than tasks_for says.
-        new = given.repartition(tasks_for(given.count()), "str").distinct()
         first = self.entries.isEmpty()
-        new = frozen(new if first else new.join(self.entries, "str", "left_anti"))
-        rows = new.count()
-        # number_rows writes the sorted rows, so every use sees the same ids.
-        numbered = number_rows(new.repartitionByRange(tasks_for(rows), "str").sortWithinPartitions("str"), "id", self.last + 1).select("id", "str")
+        spark = strings.sparkSession
+        with sparing(spark), passing(spark) as keep:
+            # Parts of a given number, which are not merged, so that no task groups or sorts more than tasks_for says.
+            new = given.repartition(tasks_for(given.count() if most is None else most), "str").distinct()
+            new = frozen(new if first else new.join(self.entries, "str", "left_anti"))
+            rows = new.count()
+            # number_rows writes the sorted rows, so every use sees the same ids; they are written with these, so that a range of ids is read by itself.
+            numbered = keep(number_rows(new.repartitionByRange(tasks_for(rows), "str").sortWithinPartitions("str"), "id", self.last + 1).select("id", "str"))
         return Dictionary(numbered if first else self.entries.unionByName(numbered), self.last + rows)
 
     def get_id(self, string: str) -> tuple["Dictionary", int]:
@@ -77,11 +80,16 @@ def strings_of(triples: DataFrame) -> DataFrame:
 MOST_PREDICATES = 100_000
 
 
-def _predicates(rows: DataFrame, column: str, entries: DataFrame, key: str) -> DataFrame:
-    """The entries of the predicates in rows: few, so that a frequent predicate needn't be one task's work, or else all entries."""
-    few = rows.select(F.col(column).alias(key)).distinct().limit(MOST_PREDICATES + 1)
-    found = frozen(entries.join(F.broadcast(few), key, "left_semi"))
-    return F.broadcast(found) if few.count() <= MOST_PREDICATES else entries
+def _predicates(rows: DataFrame, column: str, entries: DataFrame, key: str) -> DataFrame | None:
+    """The entries of the predicates in rows, to broadcast: few, so that a frequent predicate needn't be one task's work.  None if they aren't few."""
+    few = rows.select(F.col(column).alias(key)).distinct().limit(MOST_PREDICATES + 1).collect()
+    if len(few) > MOST_PREDICATES:
+        return None
+    if len(few) <= DRAWN // FREQUENT:
+        # A filter lets the reader skip what lies between the ids or strings that are wanted.
+        return F.broadcast(frozen(entries.where(F.col(key).isin([r[0] for r in few if r[0] is not None]))))
+    wanted = entries.sparkSession.createDataFrame([(r[0],) for r in few], f"{key} {dict(entries.dtypes)[key]}")
+    return F.broadcast(frozen(entries.join(F.broadcast(wanted), key, "left_semi")))
 
 
 #: Of so many rows drawn, a value that comes FREQUENT times is told to all tasks, so that its rows needn't meet in one; there are at most DRAWN / FREQUENT.
@@ -97,6 +105,13 @@ def _frequent(rows: DataFrame, total: int, columns: tuple[str, ...]) -> dict[str
     return {c: [kind(r.v) for r in found if r.c == c] for c in columns}
 
 
+def _known(entries: DataFrame, key: str, wanted: str, frequent: list, column: str) -> DataFrame:
+    """The entries of frequent values, few, as column and __known."""
+    kinds = dict(entries.dtypes)
+    known = [(r[0], r[1]) for r in entries.where(F.col(key).isin(frequent)).select(key, wanted).collect()] if frequent else []
+    return F.broadcast(entries.sparkSession.createDataFrame(known, f"{column} {kinds[key]}, __known {kinds[wanted]}"))
+
+
 def _joined(rows: DataFrame, column: str, entries: DataFrame, key: str, wanted: str, parts: int, frequent: list) -> DataFrame:
     """rows with column's value, entries' key, replaced by wanted of its entry, null if it has none.
 
@@ -106,9 +121,7 @@ def _joined(rows: DataFrame, column: str, entries: DataFrame, key: str, wanted:
     kinds, get = dict(entries.dtypes), f"__{column}_{wanted}"
     table = entries.select(F.xxhash64(key).alias("__k"), F.col(key).alias("__key"), F.col(wanted).alias("__wanted"))
     if frequent:
-        known = [(r[0], r[1]) for r in entries.where(F.col(key).isin(frequent)).select(key, wanted).collect()]
-        few = rows.sparkSession.createDataFrame(known, f"{column} {kinds[key]}, __known {kinds[wanted]}")
-        rows = rows.join(F.broadcast(few), column, "left")
+        rows = rows.join(_known(entries, key, wanted, frequent, column), column, "left")
     else:
         rows = rows.withColumn("__known", F.lit(None).cast(kinds[wanted]))
     left = F.when(F.col("__known").isNull(), F.col(column))
@@ -120,39 +133,113 @@ def _joined(rows: DataFrame, column: str, entries: DataFrame, key: str, wanted:
     return found.select(*others, F.coalesce("__known", "__wanted").alias(get)).withColumnRenamed(get, column)
 
 
-def _parts(total: int, entries: DataFrame) -> int:
-    return tasks_for(max(total, entries.count()))
+def _joined_slice(rows: DataFrame, column: str, entries: DataFrame, key: str, wanted: str, parts: int) -> DataFrame:
+    """_joined for rows that all have a value, none of it frequent."""
+    others, get = [c for c in rows.columns if c != column], f"__{column}_{wanted}"
+    table = entries.select(F.col(key).alias("__key"), F.col(wanted).alias("__wanted"))
+    on = [(column, "__key")]
+    if dict(entries.dtypes)[key] == "string":
+        rows, table, on = rows.withColumn("__hash", F.xxhash64(column)), table.withColumn("__k", F.xxhash64("__key")), [("__hash", "__k"), *on]
+    rows, table = rows.repartition(parts, *(a for a, _ in on)), table.repartition(parts, *(b for _, b in on))
+    return rows.join(table, [F.col(a) == F.col(b) for a, b in on], "left").select(*others, F.col("__wanted").alias(get)).withColumnRenamed(get, column)
 
 
-def encode_triples(triples: DataFrame, dictionary: Dictionary) -> DataFrame:
-    """tid, s, p, o (long), orl (double), oty: names by their ids, integers as they are, datetimes as seconds from year 0, reals in orl with o 0."""
+#: So many values are drawn of each column and of the dictionary to cut them into slices.
+CUTS = 4000
+
+
+def _bounds(rows: DataFrame, columns: tuple[str, ...], frequent: dict[str, list], entries: DataFrame, key: str, total: int, size: int, slices: int) -> dict[str, list]:
+    """Values that cut each column and the dictionary into slices.  What is drawn decides only how large a slice is."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns))
+    drawn = rows.select(*columns).sample(min(1.0, CUTS / max(1, total)), seed=2).select(F.explode(pairs).alias("x")).select("x.c", "x.v")
+    told = entries.sample(min(1.0, CUTS / max(1, size)), seed=2).select(F.lit("").alias("c"), F.col(key).alias("v"))
+    # In Spark's order, by which the slices are read.
+    found = drawn.unionAll(told).where("v IS NOT NULL").orderBy("v").collect()
+    out = {}
+    for c in columns:
+        apart = set(frequent[c])
+        values = [r.v for r in found if r.c in ("", c) and r.v not in apart]
+        out[c] = list(dict.fromkeys(values[len(values) * i // slices] for i in range(1, slices))) if values else []
+    return out
+
+
+def _between(column: str, bounds: list, i: int) -> Column:
+    low = F.col(column) > F.lit(bounds[i - 1]) if i > 0 else F.lit(True)
+    return low & (F.col(column) <= F.lit(bounds[i])) if i < len(bounds) else low
+
+
+def _slices(rows: DataFrame, column: str, entries: DataFrame, key: str, wanted: str, parts: int, frequent: list, bounds: list) -> Iterator[DataFrame]:
+    """The rows of _joined, those of a slice of the values after another.  Rows without a value and those of frequent ones stay where they are."""
+    apart = F.col(column).isNull() | F.col(column).isin(frequent) if frequent else F.col(column).isNull()
+    others = [c for c in rows.columns if c != column]
+    yield rows.where(apart).join(_known(entries, key, wanted, frequent, column), column, "left").select(*others, F.col("__known").alias(column))
+    for i in range(len(bounds) + 1):
+        yield _joined_slice(rows.where(~apart & _between(column, bounds, i)), column, entries.where(_between(key, bounds, i)), key, wanted, parts)
+
+
+def _replaced(rows: DataFrame, columns: tuple[str, ...], entries: DataFrame, key: str, wanted: str, scan: bool = False) -> tuple[DataFrame, bool]:
+    """rows with the columns' values, entries' key, replaced by wanted of their entries, null if there is none; if they were written.
+
+    Of few rows nothing is written.  Else the rows are written, then a column after the other is replaced and written in slices, so that disk holds
+    two states of the rows and the shuffle of one slice, not those of all columns.  scan: they are a mere scan of files, which needn't be written first.
+    """
+    spark, total, size, before = rows.sparkSession, rows.count(), entries.count(), None
+    slices = slices_for(max(total, size))
+    if slices > 1 and not scan:
+        rows, before = written([rows])
+    frequent = _frequent(rows, total, columns)
+    if slices == 1:
+        for c in columns:
+            rows = _joined(rows, c, entries, key, wanted, tasks_for(max(total, size)), frequent[c])
+        return rows, False
+    bounds = _bounds(rows, columns, frequent, entries, key, total, size, slices)
+    for c in columns:
+        with sparing(spark, parts := tasks_for(-(-max(total, size) // slices))):
+            rows, path = written(_slices(rows, c, entries, key, wanted, parts, frequent[c], bounds[c]))
+        if before:
+            discard(spark, before)
+        before = path
+    return rows, True
+
+
+def _encode(triples: DataFrame, dictionary: Dictionary) -> tuple[DataFrame, bool]:
     name = F.when(F.col("oty").isin(0, CODE, STRING), F.col("o"))
     seconds = F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', o_ts) + {EPOCH}L")
     value = F.when(F.col("oty") == INTEGER, F.col("o_int")).when(F.col("oty") == REAL, F.lit(0).cast("long")).when(F.col("oty") == DATETIME, seconds)
-    entries = _predicates(triples, "p", dictionary.entries, "str").select(F.col("id").alias("p_id"), F.col("str").alias("p"))
+    entries = _predicates(triples, "p", dictionary.entries, "str")
     out = triples.select("tid", "s", "p", "oty", name.alias("name"), value.alias("value"), F.col("o_real").alias("orl"))
-    total = out.count()
-    parts, frequent = _parts(total, dictionary.entries), _frequent(out, total, ("tid", "s", "name"))
-    out = out.join(entries, "p", "left").drop("p")
-    for column in ("tid", "s", "name"):
-        out = _joined(out, column, dictionary.entries, "str", "id", parts, frequent[column])
-    return out.select("tid", "s", F.col("p_id").alias("p"), F.coalesce("value", "name").alias("o"), "orl", "oty")
+    if entries is not None:
+        out = out.join(entries.select(F.col("id").alias("p_id"), F.col("str").alias("p")), "p", "left").drop("p").withColumnRenamed("p_id", "p")
+    out, stored = _replaced(out, ("tid", "s", "name") if entries is not None else ("p", "tid", "s", "name"), dictionary.entries, "str", "id")
+    return out.select("tid", "s", "p", F.coalesce("value", "name").alias("o"), "orl", "oty"), stored
+
+
+def encode_triples(triples: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """tid, s, p, o (long), orl (double), oty: names by their ids, integers as they are, datetimes as seconds from year 0, reals in orl with o 0."""
+    return _encode(triples, dictionary)[0]
+
+
+def encoded_table(triples: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """encode_triples as a table in the shared folder."""
+    out, stored = _encode(triples, dictionary)
+    if stored:
+        return out
+    with sparing(triples.sparkSession):
+        return frozen(out)
 
 
-def decode_triples(encoded: DataFrame, dictionary: Dictionary) -> DataFrame:
-    """The triples that encode_triples has numbered."""
+def decode_triples(encoded: DataFrame, dictionary: Dictionary, scan: bool = False) -> DataFrame:
+    """The triples that encode_triples has numbered.  scan: encoded is a mere scan of files."""
     code = F.when(F.col("oty").isin(0, CODE, STRING), F.col("o"))
-    entries = _predicates(encoded, "p", dictionary.entries, "id").select(F.col("id").alias("p"), F.col("str").alias("p_str"))
     out = encoded.select("tid", "s", "p", code.alias("name"), F.when(~F.col("oty").isin(0, CODE, STRING), F.col("o")).alias("value"), "orl", "oty")
-    total = out.count()
-    parts, frequent = _parts(total, dictionary.entries), _frequent(out, total, ("tid", "s", "name"))
-    out = out.join(entries, "p", "left").drop("p")
-    for column in ("name", "s", "tid"):
-        out = _joined(out, column, dictionary.entries, "id", "str", parts, frequent[column])
+    entries = _predicates(encoded, "p", dictionary.entries, "id")
+    out, _ = _replaced(out, ("name", "s", "tid") if entries is not None else ("p", "name", "s", "tid"), dictionary.entries, "id", "str", scan)
+    if entries is not None:
+        out = out.join(entries.select(F.col("id").alias("p"), F.col("str").alias("p_str")), "p", "left").drop("p").withColumnRenamed("p_str", "p")
     stamp = F.when(F.col("oty") == DATETIME, F.expr(f"timestampadd(SECOND, value - {EPOCH}L, timestamp_ntz'1970-01-01 00:00:00')"))
     whole = F.when(F.col("oty") == INTEGER, F.col("value"))
     text = F.coalesce("name", whole.cast("string"), F.col("orl").cast("string"), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"))
-    return out.select("tid", "s", F.col("p_str").alias("p"), "oty", text.alias("o"), whole.alias("o_int"), F.col("orl").alias("o_real"), stamp.alias("o_ts")).select(*SCHEMA.names)
+    return out.select("tid", "s", "p", "oty", text.alias("o"), whole.alias("o_int"), F.col("orl").alias("o_real"), stamp.alias("o_ts")).select(*SCHEMA.names)
 
 
 @dataclass(frozen=True)

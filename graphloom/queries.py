@@ -197,17 +197,17 @@ def _full(triples: DataFrame) -> DataFrame:
 
 def _dictionary(spark: SparkSession, sf_dir: str):
     triples = relation_triples(spark, sf_dir)
-    return triples, dictionaries.Dictionary.empty(spark).append(dictionaries.strings_of(triples))
+    return triples, dictionaries.Dictionary.empty(spark).append(dictionaries.strings_of(triples), 4 * triples.count())
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> dictionaries.Encoded:
     triples, d = _dictionary(spark, sf_dir)
-    return dictionaries.Encoded(frozen(dictionaries.encode_triples(triples, d)), d)
+    return dictionaries.Encoded(dictionaries.encoded_table(triples, d), d)
 
 
 def _dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _encoded(spark, sf_dir)
-    return _full(dictionaries.decode_triples(found.triples, found.dictionary))
+    return _full(dictionaries.decode_triples(found.triples, found.dictionary, scan=True))
 
 
 def _dict_size(spark: SparkSession, sf_dir: str) -> DataFrame:

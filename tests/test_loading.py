@@ -1,4 +1,5 @@
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,50 @@ def test_encoding_spreads_frequent_values(spark, monkeypatch):
     back = decode_triples(e, d)
     assert sorted(back.collect()) == sorted(rows.collect())
     assert most(e) < 2400 and most(back) < 2400
+
+
+def _shuffle_bytes(spark):
+    """What shuffles have left on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if "shuffle_" in files.apply(i).getName())
+
+
+def test_round_trip_in_slices_leaves_little_on_disk(spark, monkeypatch):
+    """Many rows are encoded and decoded a slice after another; neither shuffles nor tables that no step needs any more stay on disk."""
+    from graphloom.sources import stored
+
+    text = "if(id % 4 = 0, 'hub', if(id % 4 = 1, concat('s', id % 6000), if(id % 4 = 2, string(id), null)))"
+    rows = from_lexical(spark.range(40_000).selectExpr("if(id % 1000 = 7, null, concat('t', id)) tid", "concat('s', id % 6000) s", "if(id % 2 = 0, 'p', 'q') p", f"{text} o"))
+    whole = Dictionary.empty(spark).append(strings_of(rows))
+    known = Dictionary(whole.entries.where("id % 100 <> 0 OR str IN ('p', 'q')"), whole.last)  # some strings have no id
+    want = sorted(encode_triples(rows, known).collect(), key=str)
+    monkeypatch.setattr(stored, "TASK_ROWS", 2000, raising=False)
+    monkeypatch.setattr(stored, "SLICE_ROWS", 15_000, raising=False)
+    assert sorted(encode_triples(rows, known).collect(), key=str) == want
+    before, tables = _shuffle_bytes(spark), len(stored._written)
+    d = Dictionary.empty(spark).append(strings_of(rows))
+    e = encode_triples(rows, d)
+    back = decode_triples(e, d)
+    assert sorted(back.collect(), key=str) == sorted(rows.collect(), key=str)
+    assert sorted(d.entries.collect()) == sorted(whole.entries.collect())
+    # The dictionary, the predicates' entries twice, the encoded and the decoded triples.
+    assert len(stored._written) - tables <= 5
+    for _ in range(50):
+        left = _shuffle_bytes(spark) - before
+        if left < 300_000:
+            break
+        time.sleep(0.1)
+    assert left < 300_000
+
+
+def test_slices_read_every_value_once(spark):
+    """The slices of a column have all its values, whatever was drawn, and the same of the dictionary."""
+    from graphloom.operators import dictionary
+
+    rows = spark.range(1000).selectExpr("concat('v', id) v", "id n")
+    entries = spark.range(1000).selectExpr("id", "concat('v', id) str")
+    for column, key, values in (("v", "str", ["v0", "v5", "v999"]), ("n", "id", [0, 500, 999]), ("v", "str", [])):
+        parts = [rows.where(dictionary._between(column, values, i)) for i in range(len(values) + 1)]
+        others = [entries.where(dictionary._between(key, values, i)) for i in range(len(values) + 1)]
+        assert sum(p.count() for p in parts) == 1000
+        assert [sorted(r[0] for r in p.select(column).collect()) for p in parts] == [sorted(r[0] for r in x.select(key).collect()) for x in others]
